@@ -10,9 +10,16 @@ from pyspark.sql import Column, functions as F
 from hearthline import config as C
 
 
+# Every Unicode white-space character.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def strip(c: Column) -> Column:
     """Trim every Unicode white-space character, not only blanks."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.trim(c, F.lit(WHITE_SPACE))
 
 
 def _first_match(rules: list[tuple[Column, Column]], otherwise: Column) -> Column:
@@ -99,17 +106,16 @@ def measure_name(c: Column) -> Column:
 
 
 def parse_cost(c: Column) -> Column:
-    """Cost text to a struct (low, high, mid)."""
-    text = strip(F.regexp_replace(c, "\u00a0", " "))
-    span = r"(?U)£?([\d,]+)\s*-\s*£?([\d,]+)"
-    single = r"(?U)£?([\d,]+)"
+    """Cost text to a struct (low, high, mid): a range anywhere in the text, else its first number."""
+    # groups: 1-2 the ends of a range, 3 a lone number; a hyphen makes a range, a dash does not
+    pattern = r"(?s)^(?:.*?£?([\d,]+)[\s\p{Z}]*-[\s\p{Z}]*£?([\d,]+)|.*?([\d,]+))"
 
-    def number(pattern: str, group: int) -> Column:
-        return F.regexp_replace(F.regexp_extract(text, pattern, group), ",", "").try_cast("double")
+    def number(group: int) -> Column:
+        return F.regexp_replace(F.regexp_extract(c, pattern, group), ",", "").try_cast("double")
 
-    is_span = text.rlike(span)
-    low = F.when(is_span, number(span, 1)).otherwise(number(single, 1))
-    high = F.when(is_span, number(span, 2)).otherwise(number(single, 1))
+    is_range = F.regexp_extract(c, pattern, 1) != ""
+    low = F.when(is_range, number(1)).otherwise(number(3))
+    high = F.when(is_range, number(2)).otherwise(number(3))
     return F.struct(low.alias("low"), high.alias("high"), ((low + high) / 2.0).alias("mid"))
 
 

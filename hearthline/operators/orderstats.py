@@ -19,12 +19,13 @@ BUCKETS = 256
 def range_bucket(df: DataFrame, counts: DataFrame, value: str, buckets: int) -> DataFrame:
     """Split the distinct values at approximate quantiles; the cut points only steer balance."""
     probs = [i / buckets for i in range(1, buckets)]
-    cuts = df.where(F.col(value).isNotNull()).approxQuantile(value, probs, 1.0 / (2 * buckets))
+    cuts = df.approxQuantile(value, probs, 1.0 / (2 * buckets))
     inner = sorted({float(c) for c in cuts})
     if not inner:
-        return counts.withColumn("_bucket", F.lit(0.0))
+        return counts.withColumn("_bucket", F.lit(0))
     splits = [-float("inf"), *inner, float("inf")]
-    return Bucketizer(splits=splits, inputCol=value, outputCol="_bucket").transform(counts)
+    cut = Bucketizer(splits=splits, inputCol=value, outputCol="_bucket", handleInvalid="keep")
+    return cut.transform(counts).withColumn("_bucket", F.col("_bucket").cast("int"))
 
 
 def running_totals(
@@ -62,8 +63,10 @@ def value_positions(
     day); then the distinct values need no ranges.
     """
     groups = groups or []
-    base = df.select(*groups, F.col(value).cast("double").alias(value)).where(F.col(value).isNotNull())
-    counts = base.groupBy(*groups, value).agg(F.count(F.lit(1)).alias("n"))
+    base = df.select(*groups, F.col(value).cast("double").alias(value))
+    # nulls count as 0 and go afterwards: a null filter would be pushed into the
+    # input and compute the value's expression a second time
+    counts = base.groupBy(*groups, value).agg(F.count(value).alias("n")).where(F.col("n") > 0)
     if bounded:
         placed = running_totals(counts, [value], groups, ["n"])
     else:

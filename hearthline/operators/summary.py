@@ -30,19 +30,28 @@ def join_groups(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame
 # --- recommendation measures ----------------------------------------------------------------------
 
 
+def with_cost(df: DataFrame, cost: str) -> DataFrame:
+    """Replace a cost text by its columns ``low``, ``high`` and ``mid``."""
+    rest = [c for c in df.columns if c != cost]
+    return df.select(*rest, S.parse_cost(F.col(cost)).alias("_c")).select(
+        *rest, F.col("_c.low").alias("low"), F.col("_c.high").alias("high"), F.col("_c.mid").alias("mid")
+    )
+
+
 def measure_summary(
     recs: DataFrame, measure: str = "IMPROVEMENT_SUMMARY_TEXT", cost: str = "INDICATIVE_COST"
 ) -> DataFrame:
     """Count and cost statistics per measure; an unnamed measure is a group too."""
-    rows = recs.select(F.col(measure).alias("measure"), S.parse_cost(F.col(cost)).alias("c")).select("measure", "c.*")
+    rows = with_cost(recs.select(F.col(measure).alias("measure"), F.col(cost).alias("_cost")), "_cost")
     base = rows.groupBy("measure").agg(F.count(F.lit(1)).alias("count"), F.avg("mid").alias("cost_mid_mean"))
-    for col, name in (("low", "cost_low_median"), ("high", "cost_high_median"), ("mid", "cost_mid_median")):
-        part = exact_percentiles(rows, col, {name: 0.5}, ["measure"])
-        base = (
-            base.join(part, base["measure"].eqNullSafe(part["measure"]), "left")
-            .select(*[base[c] for c in base.columns], part[name])
-        )
-    return base
+    long = rows.unpivot(["measure"], ["low", "high", "mid"], "part", "value")
+    points = exact_percentiles(long, "value", {"median": 0.5}, ["measure", "part"])
+    medians = points.groupBy("measure").agg(
+        *[F.max(F.when(F.col("part") == p, F.col("median"))).alias(f"cost_{p}_median") for p in ("low", "high", "mid")]
+    )
+    return base.join(medians, null_safe(base, medians, ["measure"]), "left").select(
+        *[base[c] for c in base.columns], *[medians[c] for c in medians.columns if c != "measure"]
+    )
 
 
 def total_cost(recs: DataFrame, key: str = C.ID, cost: str = "INDICATIVE_COST", name: str = "total_cost") -> DataFrame:

@@ -221,7 +221,8 @@ def scl12(spark, d):
 )
 def scl13(spark, d):
     age = S.construction_age_num(F.col("CONSTRUCTION_AGE_BAND"))
-    return certificates(spark, d, "CONSTRUCTION_AGE_BAND").groupBy(S.era(age).alias("era")).agg(F.count(F.lit(1)).alias("n"))
+    aged = certificates(spark, d, "CONSTRUCTION_AGE_BAND").select(age.alias("age"))
+    return aged.groupBy(S.era(F.col("age")).alias("era")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
@@ -231,8 +232,8 @@ def scl13(spark, d):
 )
 def scl14(spark, d):
     age = S.construction_age_num(F.col("CONSTRUCTION_AGE_BAND"))
-    era = S.era(age, C.ERA_RIGHT_CLOSED, True, "nan")
-    return certificates(spark, d, "CONSTRUCTION_AGE_BAND").groupBy(era.alias("era")).agg(F.count(F.lit(1)).alias("n"))
+    era = S.era(F.col("age"), C.ERA_RIGHT_CLOSED, True, "nan")
+    return certificates(spark, d, "CONSTRUCTION_AGE_BAND").select(age.alias("age")).groupBy(era.alias("era")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
