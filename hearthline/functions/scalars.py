@@ -137,12 +137,23 @@ def clip_score(c: Column) -> Column:
     return clip(c.cast("double"), C.SCORE_MIN, C.SCORE_MAX)
 
 
+def _by_cut_off(c: Column, labels: list, fallback) -> Column:
+    """Label of the highest cut-off reached. Clipping to the scale would not move a
+    score across a cut-off, so the raw score is compared; this keeps the generated code short.
+    """
+    rules = [(c.isNull() | F.isnan(c), F.lit(fallback))]
+    rules += [(c >= F.lit(float(C.BAND_LOWER[b])), F.lit(v)) for b, v in zip(C.BANDS[:-1], labels)]
+    return _first_match(rules, F.lit(labels[-1]))
+
+
 def score_to_band(c: Column) -> Column:
-    """Band of a score after clipping; a null or NaN score falls back to the middle band."""
-    s = clip_score(nan_to_null(c.cast("double")))
-    rules = [(s.isNull(), F.lit(C.FALLBACK_BAND))]
-    rules += [(s >= lo, F.lit(b)) for b, lo in C.BAND_LOWER.items()]
-    return _first_match(rules, F.lit(C.BANDS[-1]))
+    """Band of a score; a null or NaN score falls back to the middle band."""
+    return _by_cut_off(c.cast("double"), list(C.BANDS), C.FALLBACK_BAND)
+
+
+def score_to_code(c: Column) -> Column:
+    """Index 0..6 of the score's band."""
+    return _by_cut_off(c.cast("double"), list(range(len(C.BANDS))), C.BANDS.index(C.FALLBACK_BAND))
 
 
 def encode_band(c: Column) -> Column:

@@ -49,7 +49,7 @@ def kappa_interval(
     df: DataFrame, true: str = "t", pred: str = "p", replicates: int = 1000, seed: int | str = 42
 ) -> DataFrame:
     cells = replicate_cells(confusion_cells(df, true, pred), ["t", "p"], replicates, seed)
-    return interval(classification_metrics(cells, ["replicate"], n="w"), "qwk")
+    return interval(classification_metrics(cells, ["replicate"], n="w", metrics=["qwk"]), "qwk")
 
 
 def score_intervals(

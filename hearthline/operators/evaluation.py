@@ -31,8 +31,8 @@ def prediction_frame(
         *extra,
         F.col(score_true).cast("double").alias("y"),
         F.col(score_pred).cast("double").alias("yhat"),
-        S.encode_band(S.score_to_band(F.col(score_true))).alias("t"),
-        S.encode_band(S.score_to_band(F.col(score_pred))).alias("p"),
+        S.score_to_code(F.col(score_true)).alias("t"),
+        S.score_to_code(F.col(score_pred)).alias("p"),
     )
 
 
@@ -58,73 +58,82 @@ def confusion_grid(df: DataFrame, true: str = "t", pred: str = "p") -> DataFrame
 
 
 def _marginals(cells: DataFrame, by: Iterable[str], n: str = "n") -> DataFrame:
-    n_, t, p = F.col(n), F.col("t"), F.col("p")
-    return cells.groupBy(*by).agg(
-        F.sum(n_).alias("n"),
-        *[F.sum(F.when(t == k, n_).otherwise(0)).alias(f"t{k}") for k in range(K)],
-        *[F.sum(F.when(p == k, n_).otherwise(0)).alias(f"p{k}") for k in range(K)],
-        *[F.sum(F.when((t == k) & (p == k), n_).otherwise(0)).alias(f"d{k}") for k in range(K)],
-        F.sum(n_ * F.abs(t - p)).alias("off1"),
-        F.sum(n_ * (t - p) * (t - p)).alias("off2"),
-    )
+    """Per group: class totals of truth (t0..), prediction (p0..) and agreement (d0..), and weighted distances."""
+    per_class = [
+        f"sum(CASE WHEN {test.format(k=k)} THEN {n} ELSE 0 END) AS {name}{k}"
+        for name, test in (("t", "t = {k}"), ("p", "p = {k}"), ("d", "t = {k} AND p = {k}"))
+        for k in range(K)
+    ]
+    sums = [f"sum({n}) AS n", f"sum({n} * abs(t - p)) AS off1", f"sum({n} * (t - p) * (t - p)) AS off2"]
+    return cells.groupBy(*by).agg(*[F.expr(e) for e in [*sums, *per_class]])
 
 
-def _kappa(observed: str, power: int) -> Column:
-    expected = _total(
-        F.col(f"t{i}").cast("double") * F.col(f"p{j}") * float(abs(i - j) ** power)
-        for i in range(K)
-        for j in range(K)
-        if i != j
-    )
-    return F.lit(1.0) - F.try_divide(F.col(observed) * F.col("n").cast("double"), expected)
+def _joined(parts: Iterable[str], op: str = " + ") -> str:
+    return "(" + op.join(parts) + ")"
+
+
+def _f1(k: int) -> str:
+    return f"coalesce(try_divide(2.0D * d{k}, CAST(t{k} + p{k} AS DOUBLE)), 0.0D)"
+
 
+def _class_ratio(k: int, over: str) -> str:
+    return f"try_divide(CAST(d{k} AS DOUBLE), CAST({over}{k} AS DOUBLE))"
 
-def _f1(k: int) -> Column:
-    both = F.col(f"t{k}") + F.col(f"p{k}")
-    return F.coalesce(F.try_divide(F.col(f"d{k}") * 2.0, both.cast("double")), F.lit(0.0))
 
+def _kappa(observed: str, expected: str) -> str:
+    """1 - observed / expected weighted distance; expected is what independent margins give, times n."""
+    return f"1.0D - try_divide({observed} * CAST(n AS DOUBLE), {expected})"
 
-def _class_ratio(k: int, over: str) -> Column:
-    return F.try_divide(F.col(f"d{k}").cast("double"), F.col(f"{over}{k}").cast("double"))
 
+def _expected_linear() -> str:
+    """Sum of |i-j| t_i p_j: at every cut between two classes, the pairs that lie on its two sides."""
+    cuts = []
+    for k in range(K - 1):
+        t, p = (_joined(f"{side}{i}" for i in range(k + 1)) for side in "tp")
+        cuts.append(f"CAST({t} AS DOUBLE) * (n - {p}) + CAST({p} AS DOUBLE) * (n - {t})")
+    return _joined(cuts)
 
-def metric_columns() -> dict[str, Column]:
-    """Named metric expressions over the marginal columns."""
-    hit = _total(F.col(f"d{k}") for k in range(K))
-    recalls = [_class_ratio(k, "t") for k in range(K)]
-    seen = _total(F.when(r.isNotNull(), 1).otherwise(0) for r in recalls)
+
+def _expected_quadratic() -> str:
+    """Sum of (i-j)^2 t_i p_j from the first two moments of the margins."""
+    m = {side: _joined(f"{i} * {side}{i}" for i in range(1, K)) for side in "tp"}
+    sq = _joined(f"{i * i} * (t{i} + p{i})" for i in range(1, K))
+    return f"(CAST(n AS DOUBLE) * {sq} - 2.0D * {m['t']} * {m['p']})"
+
+
+def metric_expressions() -> dict[str, str]:
+    """Named metrics over the marginal columns."""
+    hit = _joined(f"d{k}" for k in range(K))
+    recalls = _joined(f"coalesce({_class_ratio(k, 't')}, 0.0D)" for k in range(K))
+    seen = _joined(f"CASE WHEN t{k} > 0 THEN 1.0D ELSE 0.0D END" for k in range(K))
     return {
-        "accuracy": F.try_divide(hit.cast("double"), F.col("n").cast("double")),
-        "balanced_accuracy": F.try_divide(_total(F.coalesce(r, F.lit(0.0)) for r in recalls), seen),
-        "macro_f1": _total(_f1(k) for k in range(K)) / float(K),
-        "qwk": _kappa("off2", 2),
-        "linear_kappa": _kappa("off1", 1),
-        "mae_bands": F.try_divide(F.col("off1").cast("double"), F.col("n").cast("double")),
+        "accuracy": f"try_divide(CAST({hit} AS DOUBLE), CAST(n AS DOUBLE))",
+        "balanced_accuracy": f"try_divide({recalls}, {seen})",
+        "macro_f1": f"{_joined(_f1(k) for k in range(K))} / {float(K)}D",
+        "qwk": _kappa("off2", _expected_quadratic()),
+        "linear_kappa": _kappa("off1", _expected_linear()),
+        "mae_bands": "try_divide(CAST(off1 AS DOUBLE), CAST(n AS DOUBLE))",
     }
 
 
-def classification_metrics(cells: DataFrame, by: Iterable[str] = (), n: str = "n") -> DataFrame:
-    by = list(by)
-    cols = metric_columns()
-    return _marginals(cells, by, n).select(*by, "n", *[c.alias(name) for name, c in cols.items()])
+def classification_metrics(
+    cells: DataFrame, by: Iterable[str] = (), n: str = "n", metrics: Iterable[str] | None = None
+) -> DataFrame:
+    """Accuracy, balanced accuracy, macro-F1, both kappas and the mean band distance per group."""
+    by, known = list(by), metric_expressions()
+    wanted = [F.expr(known[m]).alias(m) for m in (metrics or known)]
+    return _marginals(cells, by, n).select(*by, "n", *wanted)
 
 
 def per_class_metrics(cells: DataFrame, by: Iterable[str] = (), n: str = "n") -> DataFrame:
     """precision, recall, F1 and support of every class; 0 where undefined."""
     by = list(by)
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(C.BANDS[k]).alias("band"),
-                F.coalesce(_class_ratio(k, "p"), F.lit(0.0)).alias("precision"),
-                F.coalesce(_class_ratio(k, "t"), F.lit(0.0)).alias("recall"),
-                _f1(k).alias("f1"),
-                F.col(f"t{k}").alias("support"),
-            )
-            for k in range(K)
-        ]
+    rows = ", ".join(
+        f"named_struct('band', '{C.BANDS[k]}', 'precision', coalesce({_class_ratio(k, 'p')}, 0.0D), "
+        f"'recall', coalesce({_class_ratio(k, 't')}, 0.0D), 'f1', {_f1(k)}, 'support', t{k})"
+        for k in range(K)
     )
-    return _marginals(cells, by, n).select(*by, F.inline(rows))
+    return _marginals(cells, by, n).select(*by, F.expr(f"inline(array({rows}))"))
 
 
 def regression_metrics(df: DataFrame, y: str = "y", yhat: str = "yhat", by: Iterable[str] = ()) -> DataFrame:
@@ -203,7 +212,7 @@ def confidence_bins(
 ) -> DataFrame:
     """QWK and accuracy per confidence quantile (``df`` has ``t``, ``p``); thin bins are skipped."""
     binned = with_quantile_bin(df, confidence, bins, bounded=bounded)
-    metrics = classification_metrics(confusion_cells(binned, by=["bin"]), ["bin"])
+    metrics = classification_metrics(confusion_cells(binned, by=["bin"]), ["bin"], metrics=["qwk", "accuracy"])
     span = binned.groupBy("bin").agg(F.min(confidence).alias("low"), F.max(confidence).alias("high"))
     return (
         metrics.where(F.col("n") >= min_rows)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from hearthline import config as C
 from hearthline.operators import dedup, repair as R
+from hearthline.session import staged
 
 
 def region_guard(df: DataFrame, region: str | None, col: str = "LOCAL_AUTHORITY") -> DataFrame:
@@ -24,14 +25,19 @@ def build_clean(
     cap_quantile: float = 0.995,
     min_area: float = 10.0,
     null_threshold: float = 0.999,
+    materialise: bool = True,
 ) -> DataFrame:
     """Guard, cast, repair, one per dwelling, cap, prune columns, valid target; order matters.
 
-    The cap is taken after de-duplication, the column prune after the cap.
+    The cap is taken after de-duplication, the column prune after the cap. Both
+    read the de-duplicated table again, so ``materialise`` writes it once to the
+    shared folder.
     """
     df = region_guard(raw, region).transform(R.coerce_numeric, numeric).transform(R.repair_consistency)
     if one_per_dwelling:
         df = dedup.best_quality_per_key(df)
+    if materialise:
+        df = staged(df, "repaired")
     if C.AREA in df.columns:
         df = df.transform(R.winsorise, C.AREA, cap_quantile).transform(R.at_least, C.AREA, min_area)
     if prune_columns:

@@ -138,7 +138,7 @@ def predictions(spark: SparkSession, d: str, *cols: str) -> DataFrame:
 
     df = table(spark, d, "lineitem").selectExpr(*_select(PREDICTION, None))
     df = df.withColumns(
-        {"t": S.encode_band(S.score_to_band(F.col("y"))), "p": S.encode_band(S.score_to_band(F.col("yhat")))}
+        {"t": S.score_to_code(F.col("y")), "p": S.score_to_code(F.col("yhat"))}
     )
     return df.select(*cols) if cols else df
 
