@@ -20,7 +20,7 @@ def basket_patterns(baskets: DataFrame, items: str, min_support: float) -> tuple
     )
     listed = singles.agg(F.array_sort(F.collect_list("item"))).scalar()
     patterns = (
-        baskets.select(F.array_sort(F.array_intersect(F.col(items), listed)).alias("pattern"))
+        baskets.select(F.sort_array(F.array_intersect(F.col(items), listed)).alias("pattern"))
         .groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
         .withColumn("baskets", size)
     )
