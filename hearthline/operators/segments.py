@@ -11,6 +11,8 @@ from hearthline.functions import scalars as S
 from hearthline.operators.orderstats import mode_per_group, range_bucket, running_totals
 from hearthline.operators.skew import attach_by_key
 from hearthline.operators.splits import hash_sample
+from hearthline.operators.summary import arg_max
+from hearthline.session import staged
 
 
 def mixed_frame(df: DataFrame, numeric: list[str], categorical: list[str], keep: list[str] | None = None) -> DataFrame:
@@ -220,17 +222,18 @@ def separation_indices(df: DataFrame, cluster: str, numeric: list[str], categori
     A 0/1 column's squared deviations follow from category counts, so the
     one-hot matrix is never built.
     """
-    n_all = df.agg(F.count(F.lit(1))).scalar()
     base = df.groupBy(cluster).agg(
         F.count(F.lit(1)).alias("n"),
         *[F.avg(c).alias(f"m_{c}") for c in numeric],
         *[F.var_pop(c).alias(f"v_{c}") for c in numeric],
     )
-    all_row = df.agg(F.struct(*[F.var_pop(c).alias(f"v_{c}") for c in numeric], F.count(F.lit(1)).alias("n"))).scalar()
+    base = staged(base, "centres")
+    whole = df.agg(F.count(F.lit(1)).alias("n"), *[F.var_pop(c).alias(f"v_{c}") for c in numeric]).first()
+    n_all = F.lit(float(whole["n"]))
     zero = F.lit(0.0)
     within_num = reduce(lambda a, b: a + b, [F.col("n") * F.col(f"v_{c}") for c in numeric], zero)
     long = df.select(cluster, *categorical).unpivot([cluster], categorical, "column", "value")
-    cat = long.groupBy(cluster, "column", "value").agg(F.count(F.lit(1)).alias("c"))
+    cat = staged(long.groupBy(cluster, "column", "value").agg(F.count(F.lit(1)).alias("c")), "levels")
     per_cluster_cat = cat.groupBy(cluster).agg(F.sum(F.col("c").cast("double") * F.col("c")).alias("sq"))
     total_cat = (
         cat.groupBy("column", "value").agg(F.sum("c").alias("c")).agg(F.sum(F.col("c").cast("double") * F.col("c"))).scalar()
@@ -240,9 +243,8 @@ def separation_indices(df: DataFrame, cluster: str, numeric: list[str], categori
         "*", (within_num + F.lit(width) * F.col("n") - F.col("sq") / F.col("n")).alias("wss")
     )
     inner = wss.agg(F.struct(F.sum("wss").alias("w"), F.count(F.lit(1)).alias("k"))).scalar()
-    tss = reduce(lambda a, b: a + b, [all_row["n"] * all_row[f"v_{c}"] for c in numeric], zero) + (
-        F.lit(width) * n_all - total_cat / n_all
-    )
+    numeric_tss = F.lit(float(sum(whole["n"] * whole[f"v_{c}"] for c in numeric)))
+    tss = numeric_tss + F.lit(width) * n_all - total_cat / n_all
 
     # Davies-Bouldin: mean distance to the centre, then the worst ratio per cluster.
     share = cat.join(base.select(cluster, "n"), cluster).select(
@@ -264,10 +266,11 @@ def separation_indices(df: DataFrame, cluster: str, numeric: list[str], categori
             F.try_element_at("shares", F.concat_ws("\u0001", F.lit(c), F.col(c))), zero
         )
     spread = rows.groupBy(cluster).agg(F.avg(F.sqrt(F.greatest(gap + F.col("share_sq"), zero))).alias("s"))
-    listed = centres.join(spread, cluster).agg(
+    ends = staged(centres.join(spread, cluster), "spread")
+    listed = ends.agg(
         F.collect_list(F.struct(cluster, "s", "share_sq", "shares", *[f"m_{c}" for c in numeric])).alias("all")
     ).scalar()
-    ones = centres.join(spread, cluster).withColumn("_all", listed)
+    ones = ends.withColumn("_all", listed)
 
     def ratio_to(o: Column) -> Column:
         num = reduce(lambda a, b: a + b, [F.pow(F.col(f"m_{c}") - o[f"m_{c}"], 2) for c in numeric], zero)
@@ -320,19 +323,26 @@ def standardised_profile(df: DataFrame, cluster: str, numeric: list[str]) -> Dat
 def sweep(
     df: DataFrame, numeric: list[str], categorical: list[str], id_col: str, ks: range = range(2, 8), **fit
 ) -> DataFrame:
-    """Cost, silhouette and separation per k; one fit per k, results of a handful of rows."""
-    parts = []
+    """Cost, silhouette and separation per k. The frame is staged once because every fit
+    reads it many times; only the finished row of each k comes back.
+    """
+    df = staged(df.select(id_col, *numeric, *categorical), "sweep")
+    rows = []
     for k in ks:
         model = fit_prototypes(df, numeric, categorical, k, id_col, **fit)
         labelled = model.assign(df)
         clusters = list(range(k))
-        mean_width = silhouette(
-            group_distances(labelled, id_col, "cluster", numeric, categorical, clusters), id_col, "cluster", clusters
-        ).agg(F.avg("silhouette").alias("silhouette"))
-        indices = separation_indices(labelled, "cluster", numeric, categorical)
-        parts.append(
-            mean_width.select(F.lit(k).alias("k"), F.lit(model.cost).alias("cost"), "silhouette")
-            .withColumn("_i", indices.select(F.struct(*indices.columns)).scalar())
-            .select("k", "cost", "silhouette", "_i.calinski_harabasz", "_i.davies_bouldin")
+        distances = group_distances(labelled, id_col, "cluster", numeric, categorical, clusters)
+        width = silhouette(distances, id_col, "cluster", clusters).agg(F.avg("silhouette").alias("silhouette")).first()
+        indices = separation_indices(labelled, "cluster", numeric, categorical).first()
+        rows.append(
+            (k, model.cost, width["silhouette"], indices["calinski_harabasz"], indices["davies_bouldin"])
         )
-    return reduce(DataFrame.unionByName, parts)
+    return df.sparkSession.createDataFrame(
+        rows, "k int, cost double, silhouette double, calinski_harabasz double, davies_bouldin double"
+    )
+
+
+def best_k(swept: DataFrame) -> DataFrame:
+    """The k with the widest silhouette; the smaller k wins a tie."""
+    return arg_max(swept, "k", "silhouette")
