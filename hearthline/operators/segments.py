@@ -55,22 +55,25 @@ class Prototypes:
     rounds: int = 0
     cost_path: tuple[float, ...] = ()
 
-    def distances(self) -> list[Column]:
+    def distances(self) -> list[str]:
+        """Cost of a row under every centre, as SQL text (one short parse instead of many column calls)."""
         out = []
         for means, modes in zip(self.means, self.modes):
-            parts = [(F.col(c) - F.lit(m)) * (F.col(c) - F.lit(m)) for c, m in zip(self.numeric, means)]
-            parts += [F.when(F.col(c) != F.lit(m), self.gamma).otherwise(0.0) for c, m in zip(self.categorical, modes)]
-            out.append(reduce(lambda a, b: a + b, parts))
+            parts = [f"({c} - {m!r}D) * ({c} - {m!r}D)" for c, m in zip(self.numeric, means)]
+            parts += [f"IF({c} = {_quoted(m)}, 0.0D, {self.gamma!r}D)" for c, m in zip(self.categorical, modes)]
+            out.append(" + ".join(parts))
         return out
 
     def assign(self, df: DataFrame, name: str = "cluster", cost: str | None = None) -> DataFrame:
         """Nearest centre of every row; the lower number wins a tie."""
-        held = df.withColumn("_d", F.array(*self.distances()))
-        best = F.array_min("_d")
-        cols = {name: (F.array_position(F.col("_d"), best) - 1).cast("int")}
-        if cost:
-            cols[cost] = best
-        return held.withColumns(cols).drop("_d")
+        costs = ", ".join(f"struct({d} AS d, {i} AS i)" for i, d in enumerate(self.distances()))
+        held = df.select("*", F.expr(f"array_min(array({costs})) AS _best"))
+        picked = ["_best.i AS " + name] + ([f"_best.d AS {cost}"] if cost else [])
+        return held.selectExpr(*df.columns, *picked)
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def fit_prototypes(
@@ -100,18 +103,16 @@ def fit_prototypes(
     path: list[float] = []
     for turn in range(1, max_rounds + 1):
         assigned = centres.assign(df.select(*numeric, *categorical), cost="_cost")
-        numbers = {
-            r["cluster"]: r
-            for r in assigned.groupBy("cluster")
-            .agg(F.sum("_cost").alias("cost"), *[F.avg(c).alias(c) for c in numeric]).collect()
-        }
-        path.append(sum(r["cost"] for r in numbers.values()))
-        modes = {r["cluster"]: r for r in _modes(assigned, "cluster", categorical).collect()} if categorical else {}
+        summed = assigned.groupBy("cluster").agg(F.sum("_cost").alias("_cost"), *[F.avg(c).alias(c) for c in numeric])
+        if categorical:
+            summed = summed.join(_modes(assigned, "cluster", categorical), "cluster")
+        found = {r["cluster"]: r for r in summed.collect()}  # at most k rows
+        path.append(sum(r["_cost"] for r in found.values()))
         means = tuple(
-            tuple(numbers[i][c] for c in numeric) if i in numbers else centres.means[i] for i in range(len(start))
+            tuple(found[i][c] for c in numeric) if i in found else centres.means[i] for i in range(len(start))
         )
         kinds = tuple(
-            tuple(modes[i][c] for c in categorical) if i in modes else centres.modes[i] for i in range(len(start))
+            tuple(found[i][c] for c in categorical) if i in found else centres.modes[i] for i in range(len(start))
         )
         settled = len(path) > 1 and path[-2] - path[-1] <= tolerance * abs(path[-2])
         same = means == centres.means and kinds == centres.modes
@@ -153,45 +154,41 @@ def group_distances(
     Gower distance is a mean over features, so the sum over a cluster needs
     only, per feature, the running count and sum of the cluster's values (or
     the count of equal categories). Exact for the whole table in
-    O(rows * clusters), without ever forming a pair of rows.
+    O(rows * features * clusters), without ever forming a pair of rows.
     """
-    is_in = [F.col(cluster) == c for c in clusters]
-    sizes = df.agg(F.struct(*[F.count_if(t).alias(f"n{i}") for i, t in enumerate(is_in)])).scalar()
-    out = df.select(id_col, cluster, *numeric, *categorical)
-    for f, col in enumerate(numeric):
-        span = df.agg(F.max(col) - F.min(col)).scalar()
-        counts = df.groupBy(col).agg(
-            F.count(F.lit(1)).alias("rows"), *[F.count_if(t).alias(f"c{i}") for i, t in enumerate(is_in)]
-        ).withColumns({f"s{i}": F.col(f"c{i}") * F.col(col) for i in range(len(clusters))})
-        measures = [f"{m}{i}" for i in range(len(clusters)) for m in "cs"]
-        placed = running_totals(range_bucket(df, counts, col, buckets), [col], [], measures, "_bucket")
-        width = F.when(span == 0, F.lit(1.0)).otherwise(span)
-        per_value = placed.select(
-            col, "rows",
-            F.array(*[
-                (F.col(col) * (2 * F.col(f"c{i}_before") + F.col(f"c{i}") - F.col(f"c{i}_total"))
-                 - 2 * F.col(f"s{i}_before") - F.col(f"s{i}") + F.col(f"s{i}_total")) / width
-                for i in range(len(clusters))
-            ]).alias(f"_f{f}"),
-        )
-        out = attach_by_key(out, per_value, [col], "rows")
-    for f, col in enumerate(categorical, start=len(numeric)):
-        counts = df.groupBy(col).agg(
-            F.count(F.lit(1)).alias("rows"),
-            F.array(*[F.count_if(t).cast("double") for t in is_in]).alias("_same"),
+    ks = range(len(clusters))
+    size_of = df.groupBy(cluster).agg(F.count(F.lit(1)).alias("n")).where(F.col(cluster).isin(*clusters)).collect()
+    sizes = [next((r["n"] for r in size_of if r[cluster] == c), 0) for c in clusters]
+    in_cluster = [f"count_if({cluster} = {c}) AS c{i}" for i, c in enumerate(clusters)]
+    parts = []
+    if numeric:
+        # + 0.0 turns -0.0 into 0.0, so that equal numbers have equal texts below
+        numbers = df.selectExpr(cluster, *[f"CAST({c} AS DOUBLE) + 0.0D AS {c}" for c in numeric]).unpivot(
+            [cluster], numeric, "column", "value"
         )
-        total = [sizes[f"n{i}"] for i in range(len(clusters))]
-        per_value = counts.select(
-            col, "rows", F.array(*[t - F.col("_same")[i] for i, t in enumerate(total)]).alias(f"_f{f}")
+        counts = numbers.groupBy("column", "value").agg(*[F.expr(e) for e in ["count(1) AS rows", *in_cluster]])
+        counts = counts.selectExpr("*", *[f"c{i} * value AS s{i}" for i in ks])
+        measures = [f"{m}{i}" for i in ks for m in "cs"]
+        placed = running_totals(range_bucket(numbers, counts, "value", buckets), ["value"], ["column"], measures, "_bucket")
+        span = df.selectExpr(*[f"max({c}) - min({c}) AS {c}" for c in numeric]).first()
+        width = "CASE column " + " ".join(f"WHEN '{c}' THEN {float(span[c]) or 1.0!r}D" for c in numeric) + " END"
+        sums = ", ".join(
+            f"(value * (2 * c{i}_before + c{i} - c{i}_total) - 2 * s{i}_before - s{i} + s{i}_total) / ({width})" for i in ks
         )
-        out = attach_by_key(out, per_value, [col], "rows")
-    width = float(len(numeric) + len(categorical))
-    sums = [
-        (reduce(lambda a, b: a + b, [F.col(f"_f{f}")[i] for f in range(int(width))]) / width).alias(f"d{i}")
-        for i in range(len(clusters))
-    ]
-    return out.withColumn("_n", sizes).select(
-        id_col, cluster, *sums, *[F.col(f"_n.n{i}").alias(f"n{i}") for i in range(len(clusters))]
+        parts.append(placed.selectExpr("column", "CAST(value AS STRING) AS key", "rows", f"array({sums}) AS f"))
+    if categorical:
+        levels = df.select(cluster, *categorical).unpivot([cluster], categorical, "column", "key")
+        counts = levels.groupBy("column", "key").agg(*[F.expr(e) for e in ["count(1) AS rows", *in_cluster]])
+        others = ", ".join(f"CAST({sizes[i]} - c{i} AS DOUBLE)" for i in ks)
+        parts.append(counts.selectExpr("column", "key", "rows", f"array({others}) AS f"))
+    per_value = reduce(DataFrame.unionByName, parts)
+    long = df.selectExpr(
+        id_col, cluster, *[f"CAST(CAST({c} AS DOUBLE) + 0.0D AS STRING) AS {c}" for c in numeric], *categorical
+    ).unpivot([id_col, cluster], [*numeric, *categorical], "column", "key")
+    features = float(len(numeric) + len(categorical))
+    found = attach_by_key(long, per_value, ["column", "key"], "rows")
+    return found.groupBy(id_col, cluster).agg(*[F.expr(f"sum(f[{i}]) / {features}D AS d{i}") for i in ks]).selectExpr(
+        "*", *[f"{n} AS n{i}" for i, n in enumerate(sizes)]
     )
 
 
