@@ -89,28 +89,21 @@ def src6(spark, d):
     return spark.read.schema(schema).option("header", True).csv(path)
 
 
-@query("snk1_write_published")
+@query("snk1_write_published", f"WITH {cert_cte()} SELECT CAST(year(INSPECTION_DATE) AS INT) AS _year, count(*) AS n FROM cert GROUP BY 1")
 def snk1(spark, d):
     path = scratch_path(spark, "sink-published")
     sinks.write_published(P.publishable(certificates(spark, d)), path)
     return spark.read.parquet(path).groupBy("_year").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("snk2_write_cleaning_log")
-def snk2(spark, d):
-    path = scratch_path(spark, "sink-log")
-    sinks.write_log(R.cleaning_log(certificates(spark, d)), path)
-    return spark.read.option("header", True).csv(path)
-
-
-@query("snk3_write_predictions")
+@query("snk3_write_predictions", f"WITH {pred_cte()} SELECT split, count(*) AS n FROM pred GROUP BY 1")
 def snk3(spark, d):
     path = scratch_path(spark, "sink-predictions")
     sinks.write_predictions(predictions(spark, d), path)
     return spark.read.parquet(path).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("snk4_write_report")
+@query("snk4_write_report", f"WITH {pred_cte()} SELECT seg, t, count(*) AS n FROM pred GROUP BY 1, 2")
 def snk4(spark, d):
     path = scratch_path(spark, "sink-report")
     sinks.write_report(predictions(spark, d).groupBy("seg", "t").agg(F.count(F.lit(1)).alias("n")), path)
@@ -149,7 +142,7 @@ def prj3(spark, d):
                        "MAINHEAT_DESCRIPTION", "TENURE")
 
 
-@query("prj4_feature_contract")
+@query("prj4_feature_contract", f"WITH {cert_cte()} SELECT TOTAL_FLOOR_AREA, PROPERTY_TYPE, REPORT_TYPE FROM cert")
 def prj4(spark, d):
     return P.conform(certificates(spark, d), ["TOTAL_FLOOR_AREA", "PROPERTY_TYPE", "REPORT_TYPE"])
 
@@ -230,6 +223,13 @@ _LOG_SQL = f"""WITH {cert_cte()}, a AS (SELECT *, {HEATED_CAPPED} AS heated FROM
 SELECT rule, n_rows_affected, action FROM r WHERE always OR n_rows_affected > 0"""
 
 
+@query("snk2_write_cleaning_log", f"SELECT rule, CAST(n_rows_affected AS VARCHAR) AS n_rows_affected, action FROM ({_LOG_SQL})")
+def snk2(spark, d):
+    path = scratch_path(spark, "sink-log")
+    sinks.write_log(R.cleaning_log(certificates(spark, d)), path)
+    return spark.read.option("header", True).csv(path)
+
+
 @query("log1_cleaning_log", _LOG_SQL)
 def log1(spark, d):
     return R.cleaning_log(certificates(spark, d))
