@@ -69,7 +69,7 @@ class Prototypes:
         costs = ", ".join(f"struct({d} AS d, {i} AS i)" for i, d in enumerate(self.distances()))
         held = df.select("*", F.expr(f"array_min(array({costs})) AS _best"))
         picked = ["_best.i AS " + name] + ([f"_best.d AS {cost}"] if cost else [])
-        return held.selectExpr(*df.columns, *picked)
+        return held.selectExpr(*[c for c in df.columns if c not in (name, cost)], *picked)
 
 
 def _quoted(text: str) -> str:
