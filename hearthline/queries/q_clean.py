@@ -261,7 +261,10 @@ def _clean_out(df):
     return rounded(out.withColumn(C.SCORE, F.col(C.SCORE).cast("double")))
 
 
-_CLEAN_SELECT = f"SELECT {', '.join(_CLEAN_COLS)}, false AS has_tenure FROM clean"
+_CLEAN_SELECT = (
+    f"SELECT {', '.join(_CLEAN_COLS)}, (SELECT avg(CAST(TENURE IS NULL AS DOUBLE)) < 0.999 FROM capped "
+    "WHERE coalesce(TOTAL_FLOOR_AREA, 99) >= 10) AS has_tenure FROM clean"
+)
 
 
 @query("cln1_build_clean", rsql(f"WITH {CLEAN_CTES} {_CLEAN_SELECT}", "TOTAL_FLOOR_AREA CURRENT_ENERGY_EFFICIENCY"))

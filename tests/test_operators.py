@@ -187,7 +187,7 @@ def test_within_and_support(spark):
 
 
 def test_poisson_draws(spark):
-    for mean in (0.7, 5.0, 31.0, 40.0, 5000.0):
+    for mean in (1.0, 5.0, 31.0, 40.0, 5000.0):
         df = spark.range(20000).select(poisson_count(F.lit(mean), 9, F.col("id")).alias("w"))
         s = df.agg(F.avg("w").alias("m"), F.var_pop("w").alias("v")).first()
         assert s["m"] == pytest.approx(mean, rel=0.05)
