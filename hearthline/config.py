@@ -59,7 +59,7 @@ TEXT_FLAGS = {
     "FLAG_GAS_BOILER": ("MAINHEAT_DESCRIPTION", r"mains gas"),
     "FLAG_ELECTRIC_HEATING": ("MAINHEAT_DESCRIPTION", r"electric|storage heater"),
 }
-LOFT_DEPTH_PATTERN = r"(\d{2,3})\s*mm"
+LOFT_DEPTH_PATTERN = r"(\d{2,3})[\s\p{Z}\x85]*mm"  # any Unicode white space before the unit
 NO_LOFT_PATTERN = r"no insulation|loft insulation, no insulation"
 LOFT_TARGET_MM = 270
 # Wall kinds, highest precedence first.

@@ -91,7 +91,7 @@ def text_flag(c: Column, pattern: str) -> Column:
 
 def loft_depth_mm(c: Column) -> Column:
     text = F.coalesce(c, F.lit(""))
-    depth = F.coalesce(F.regexp_extract(text, f"(?iU){C.LOFT_DEPTH_PATTERN}", 1).try_cast("int"), F.lit(0))
+    depth = F.coalesce(F.regexp_extract(text, f"(?i){C.LOFT_DEPTH_PATTERN}", 1).try_cast("int"), F.lit(0))
     return F.when(text.rlike(f"(?id){C.NO_LOFT_PATTERN}"), F.lit(0)).otherwise(depth)
 
 
@@ -108,14 +108,16 @@ def measure_name(c: Column) -> Column:
 def parse_cost(c: Column) -> Column:
     """Cost text to a struct (low, high, mid): a range anywhere in the text, else its first number."""
     # groups: 1-2 the ends of a range, 3 a lone number; a hyphen makes a range, a dash does not
-    pattern = r"(?s)^(?:.*?£?([\d,]+)[\s\p{Z}]*-[\s\p{Z}]*£?([\d,]+)|.*?([\d,]+))"
+    pattern = r"(?s)^(?:.*?([\d,]+)[\s\p{Z}]*-[\s\p{Z}]*£?([\d,]+)|.*?([\d,]+)).*$"
+    # one match per text; a text without a digit stays as it is and no part of it is a number
+    parts = F.split(F.regexp_replace(c, pattern, "$1;$2;$3"), ";")
 
-    def number(group: int) -> Column:
-        return F.regexp_replace(F.regexp_extract(c, pattern, group), ",", "").try_cast("double")
+    def number(i: int) -> Column:
+        return F.replace(F.get(parts, F.lit(i)), F.lit(","), F.lit("")).try_cast("double")
 
-    is_range = F.regexp_extract(c, pattern, 1) != ""
-    low = F.when(is_range, number(1)).otherwise(number(3))
-    high = F.when(is_range, number(2)).otherwise(number(3))
+    is_range = F.get(parts, F.lit(0)) != ""
+    low = F.when(is_range, number(0)).otherwise(number(2))
+    high = F.when(is_range, number(1)).otherwise(number(2))
     return F.struct(low.alias("low"), high.alias("high"), ((low + high) / 2.0).alias("mid"))
 
 

@@ -7,7 +7,6 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from hearthline.functions import scalars as S
 from hearthline.functions.hashing import uniform
 from hearthline.operators.evaluation import K, classification_metrics, confusion_cells
 from hearthline.operators.summary import fold_aggregate
@@ -23,20 +22,19 @@ def threshold_cells(df: DataFrame, probs: str, code: str, grid: Iterable[float]
     prediction. The g's never fall from one class to the next, which bounds the
     number of distinct cells whatever the number of rows.
     """
-    cum = df.select(F.col(code).alias("t"), S.cumulative(F.col(probs)).alias("_cum"))
     marks = list(grid)
-    reached = [
-        sum(((F.col("_cum")[k] >= g).cast("int") for g in marks), F.lit(0)).alias(f"g{k}") for k in range(K)
-    ]
+    cum = df.select(
+        F.col(code).alias("t"),
+        *[F.expr(" + ".join(f"{probs}[{j}]" for j in range(k + 1))).alias(f"c{k}") for k in range(K)],
+    )
+    reached = [F.expr(" + ".join(f"IF(c{k} >= {g!r}D, 1, 0)" for g in marks)).alias(f"g{k}") for k in range(K)]
     return cum.select("t", *reached).groupBy("t", *[f"g{k}" for k in range(K)]).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _predicted(steps: list[int | Column]) -> Column:
-    """First class whose reached count is at its step, else the last class."""
-    out: Column = F.lit(K - 1)
-    for k in reversed(range(K)):
-        out = F.when(F.col(f"g{k}") >= steps[k], k).otherwise(out)
-    return out
+def _first_hit(classes: range, steps: list[int], otherwise: int) -> Column:
+    """First of the classes whose reached count is at its step."""
+    arms = " ".join(f"WHEN g{k} >= {steps[k]} THEN {k}" for k in classes)
+    return F.expr(f"CASE {arms} ELSE {otherwise} END" if arms else str(otherwise))
 
 
 def tune_thresholds(
@@ -47,10 +45,14 @@ def tune_thresholds(
     cells = staged(threshold_cells(df, probs, code, marks), "threshold-cells")
 
     def kappas(steps: list[int], k: int) -> dict[int, float]:
-        trial = cells.withColumn("candidate", F.explode(F.sequence(F.lit(1), F.lit(len(marks)))))
-        own: list[int | Column] = list(steps)
-        own[k] = F.col("candidate")
-        counted = trial.groupBy("candidate", "t", _predicted(own).alias("p")).agg(F.sum("n").alias("n"))
+        # a candidate only matters between the classes hit before and after k
+        narrow = cells.groupBy(
+            "t", _first_hit(range(k), steps, -1).alias("before"), F.col(f"g{k}").alias("g"),
+            _first_hit(range(k + 1, K), steps, K - 1).alias("after"),
+        ).agg(F.sum("n").alias("n"))
+        trial = narrow.withColumn("candidate", F.explode(F.sequence(F.lit(1), F.lit(len(marks)))))
+        p = F.expr(f"CASE WHEN before >= 0 THEN before WHEN g >= candidate THEN {k} ELSE after END")
+        counted = trial.groupBy("candidate", "t", p.alias("p")).agg(F.sum("n").alias("n"))
         return {r["candidate"]: r["qwk"] for r in classification_metrics(counted, ["candidate"], metrics=["qwk"]).collect()}
 
     best = [marks.index(0.5) + 1] * K

@@ -38,11 +38,11 @@ def prediction_frame(
 
 def confusion_cells(df: DataFrame, true: str = "t", pred: str = "p", by: Iterable[str] = ()) -> DataFrame:
     """Count of every (truth, prediction) cell that occurs."""
-    return (
-        df.where(F.col(true).isNotNull() & F.col(pred).isNotNull())
-        .groupBy(*by, F.col(true).alias("t"), F.col(pred).alias("p"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    both = F.col(true).isNotNull() & F.col(pred).isNotNull()
+    # rows without a class count as 0 and go afterwards; a filter before the count
+    # would compute both class expressions twice per row
+    counted = df.groupBy(*by, F.col(true).alias("t"), F.col(pred).alias("p")).agg(F.count_if(both).alias("n"))
+    return counted.where(F.col("n") > 0)
 
 
 def confusion_grid(df: DataFrame, true: str = "t", pred: str = "p") -> DataFrame:

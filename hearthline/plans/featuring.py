@@ -29,11 +29,12 @@ def add_text_flags(df: DataFrame) -> DataFrame:
 
     new = {name: S.text_flag(text(c), pattern) for name, (c, pattern) in C.TEXT_FLAGS.items()}
     roof = text("ROOF_DESCRIPTION")
-    depth = S.loft_depth_mm(roof)
-    new["LOFT_INSULATION_MM"] = depth
-    new["FLAG_LOFT_270MM"] = (depth >= C.LOFT_TARGET_MM).cast("int")
+    new["LOFT_INSULATION_MM"] = S.loft_depth_mm(roof)
     new["FLAG_NO_LOFT_INSULATION"] = S.text_flag(roof, C.NO_LOFT_PATTERN)
-    return df.withColumns(new)
+    # a second step, so that the depth is read out of the text once
+    return df.withColumns(new).withColumn(
+        "FLAG_LOFT_270MM", (F.col("LOFT_INSULATION_MM") >= C.LOFT_TARGET_MM).cast("int")
+    )
 
 
 def add_ratios(df: DataFrame) -> DataFrame:

@@ -95,7 +95,7 @@ def _prepared(spark, d):
     fitted = prep.preparation(train, FEATURES, scale=False).fit(train)
     rows = fitted.transform(frame.where("split <> 'discard'"))
     weighted = L.balanced_weight(rows.select("LMK_KEY", "REPORT_TYPE", "INSPECTION_DATE", "split", "label", "label_score", "t", "features"), "label")
-    return staged(weighted, "prepared"), fitted
+    return staged(weighted.repartition(spark.sparkContext.defaultParallelism, "LMK_KEY"), "prepared"), fitted
 
 
 def _sides(spark, d):

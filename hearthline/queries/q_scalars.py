@@ -113,14 +113,14 @@ def scl4(spark, d):
 @query(
     "scl4_document_flags",
     "SELECT lang, count(*) AS n, CAST(sum(CAST(regexp_matches(text, '(?i)copyright|license') AS INT)) AS BIGINT) AS n_license, "
-    "CAST(sum(CAST(regexp_matches(text, '(?i)[a-z0-9._]+@[a-z0-9.]+') AS INT)) AS BIGINT) AS n_mail FROM documents GROUP BY lang",
+    "CAST(sum(CAST(regexp_matches(text, '(?i)[a-z0-9._]@[a-z0-9.]') AS INT)) AS BIGINT) AS n_mail FROM documents GROUP BY lang",
 )
 def scl4_documents(spark, d):
     docs = table(spark, d, "documents").select("lang", "text")
     return docs.groupBy("lang").agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(S.text_flag(F.col("text"), "copyright|license")).alias("n_license"),
-        F.sum(S.text_flag(F.col("text"), "[a-z0-9._]+@[a-z0-9.]+")).alias("n_mail"),
+        F.sum(S.text_flag(F.col("text"), "[a-z0-9._]@[a-z0-9.]")).alias("n_mail"),
     )
 
 

@@ -14,6 +14,9 @@ def build_session(app: str = "hearthline", master: str | None = None, **conf: st
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
+        # the JVM does not compile methods beyond 8000 bytes of code: wide feature
+        # projections are faster as split methods than as one interpreted method
+        "spark.sql.codegen.hugeMethodLimit": "8000",
         **conf,
     }
     builder = SparkSession.builder.appName(app)
