@@ -2,7 +2,7 @@
 
 Equal values are counted first (a hot value becomes one row), distinct values
 are cut into ranges, and each range is accumulated on its own; only the range
-totals (at most ``buckets`` per group) are accumulated across ranges.
+totals (at most ``bucket_count`` per group) are accumulated across ranges.
 """
 
 from __future__ import annotations
@@ -13,11 +13,15 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from hearthline.functions.hashing import hash32
 from hearthline.operators.skew import null_safe
 
-BUCKETS = 256
 
+def bucket_count(df: DataFrame, buckets: int | None = None) -> int:
+    """Ranges to cut an order into: a few per shuffle partition, so that they grow with the cluster."""
+    return buckets or max(64, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
-def range_bucket(df: DataFrame, counts: DataFrame, value: str, buckets: int) -> DataFrame:
+
+def range_bucket(df: DataFrame, counts: DataFrame, value: str, buckets: int | None = None) -> DataFrame:
     """Split the distinct values at approximate quantiles; the cut points only steer balance."""
+    buckets = bucket_count(df, buckets)
     probs = [i / buckets for i in range(1, buckets)]
     cuts = df.approxQuantile(value, probs, 1.0 / (2 * buckets))
     inner = sorted({float(c) for c in cuts})
@@ -55,7 +59,7 @@ def running_totals(
 
 
 def value_positions(
-    df: DataFrame, value: str, groups: list[str] | None = None, *, bounded: bool = False, buckets: int = BUCKETS
+    df: DataFrame, value: str, groups: list[str] | None = None, *, bounded: bool = False, buckets: int | None = None
 ) -> DataFrame:
     """One row per group and distinct value: ``n``, rows ``before`` it, rows ``total``.
 
@@ -75,13 +79,13 @@ def value_positions(
 
 
 def hash_positions(
-    df: DataFrame, id_col: str, seed: int | str, groups: list[str] | None = None, buckets: int = BUCKETS
+    df: DataFrame, id_col: str, seed: int | str, groups: list[str] | None = None, buckets: int | None = None
 ) -> DataFrame:
     """Add ``position`` (0-based) of each row in a seeded shuffle, within its group.
 
     The hash is uniform, so equal slices of its range are equal in size.
     """
-    groups = groups or []
+    groups, buckets = groups or [], bucket_count(df, buckets)
     keyed = df.withColumn("_hash", hash32(seed, F.col(id_col))).withColumn("_one", F.lit(1).cast("bigint"))
     bucketed = keyed.withColumn("_bucket", F.floor(F.col("_hash") * buckets / F.lit(float(1 << 32))))
     placed = running_totals(bucketed, ["_hash", id_col], groups, ["_one"], "_bucket")
@@ -95,7 +99,7 @@ def exact_percentiles(
     groups: list[str] | None = None,
     *,
     bounded: bool = False,
-    buckets: int = BUCKETS,
+    buckets: int | None = None,
 ) -> DataFrame:
     """Linear-interpolation percentiles per group, named by ``points``. Nulls are ignored."""
     groups = groups or []

@@ -147,7 +147,7 @@ def group_distances(
     categorical: list[str],
     clusters: list[int],
     *,
-    buckets: int = 64,
+    buckets: int | None = None,
 ) -> DataFrame:
     """Summed Gower distance of every row to the rows of each cluster: ``d0 .. d<k-1>``, with sizes ``n0 ..``.
 
