@@ -9,16 +9,14 @@ from pyspark.sql import functions as F
 
 from hearthline import config as C
 from hearthline.functions import scalars as S
-from hearthline.functions.hashing import uniform
 from hearthline.models import estimators as M, explain, prep, tuning
 from hearthline.models.routed import fit_per_cohort, fit_routed, predict_per_cohort
 from hearthline.operators import splits as L
 from hearthline.operators.evaluation import classification_metrics, confusion_cells, regression_metrics
-from hearthline.operators.summary import baskets  # noqa: F401
 from hearthline.plans import featuring, scoring
 from hearthline.queries.q_scalars import AGE_SQL, PROBS_CTE, WALL_SQL, era_sql, probs
 from hearthline.queries.registry import query, rounded, rsql
-from hearthline.queries.roles import band_sql, cert_cte, certificates, code_sql, table, uniform_sql
+from hearthline.queries.roles import band_sql, cert_cte, certificates, table, uniform_sql
 from hearthline.session import scratch_path, staged
 from hearthline.sources import model_store
 
@@ -37,17 +35,12 @@ def mlp1(spark, d):
 
 
 _TRAIN_SQL = f"INSPECTION_DATE <= DATE '{CUT}'"
-_TRAIN = F.col  # resolved per query below
 
 
 def _is_train():
     return F.col("INSPECTION_DATE") <= F.lit(CUT).cast("date")
 
 
-def _scaled_sql(c: str) -> str:
-    return (f"(SELECT quantile_cont({c}, 0.5::DOUBLE) FROM cert WHERE {_TRAIN_SQL})")
-
-
 @query("mlp2_impute_and_scale", rsql(
     f"WITH {cert_cte()}, m AS (SELECT quantile_cont(TOTAL_FLOOR_AREA, 0.5::DOUBLE) AS a, quantile_cont(NUMBER_HEATED_ROOMS, 0.5::DOUBLE) AS b FROM cert WHERE {_TRAIN_SQL}), "
     f"q AS (SELECT quantile_cont(coalesce(TOTAL_FLOOR_AREA, a), 0.75::DOUBLE) - quantile_cont(coalesce(TOTAL_FLOOR_AREA, a), 0.25::DOUBLE) AS ra, "
