@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hearthline.llm.common import read
+from hearthline.llm.importance import fit_ratio, resample
+from hearthline.llm.packing import pack
 from hearthline.llm.quality_lines import fit_lines, quality_rules
+from hearthline.llm.separator_scan import token_counts
+from hearthline.llm.toxicity import HELD_OUT, fit_toxicity, score_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -22,3 +26,28 @@ def registered(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkS
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return quality_rules(docs, fit_lines(docs, read(spark, sf_dir, "labels")))
+
+
+@registered
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read(spark, sf_dir, "documents"))
+
+
+@registered
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(read(spark, sf_dir, "documents"))
+
+
+@registered
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = fit_toxicity(docs, read(spark, sf_dir, "labels"), where=f"NOT ({HELD_OUT})")
+    return score_toxicity(docs, model).select(
+        "doc_id", F.coalesce(F.expr(HELD_OUT), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
+@registered
+def op10_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return resample(docs, fit_ratio(docs, read(spark, sf_dir, "labels")))
