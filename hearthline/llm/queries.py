@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from hearthline.llm import decontaminate as contamination, warc
 from hearthline.llm.common import read
 from hearthline.llm.importance import fit_ratio, resample
 from hearthline.llm.packing import pack
@@ -51,3 +52,17 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return resample(docs, fit_ratio(docs, read(spark, sf_dir, "labels")))
+
+
+@registered
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("text_key")
+
+
+@registered
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(spark, read(spark, sf_dir, "pages"))
+
+
+ORACLE["op2_decontamination"] = contamination.SQL
+ORACLE["op8_warc"] = warc.SQL
