@@ -29,6 +29,7 @@ from hearthline.llm.common import staged
 from hearthline.session import scratch_path
 
 MIN_REVISIT = 1000
+MOST_TASKS = 20_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: upper half of the record ids; the lower half is the page id
 SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:page").int >> 64 << 64
@@ -206,7 +207,9 @@ def read_archives(manifest: DataFrame, folder: str, columns: tuple[str, ...] = t
                     if rows:
                         yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return manifest.select("name").repartition("name").mapInArrow(run, ", ".join(f"{c} {READ[c]}" for c in columns))
+    # a list this short would be coalesced to one task; a number given here is kept
+    tasks = max(1, min(manifest.count(), MOST_TASKS))
+    return manifest.select("name").repartition(tasks).mapInArrow(run, ", ".join(f"{c} {READ[c]}" for c in columns))
 
 
 def archive_pages(spark: SparkSession, pages: DataFrame, folder: str | None = None) -> DataFrame:
