@@ -25,6 +25,7 @@ from hearthline.llm.tokens import encoder, vocabulary_path
 from hearthline.session import scratch_path
 
 SEPARATOR = 50256
+MOST_TASKS = 20_000
 MANIFEST = "file long, ordinal long, doc_id long"
 
 
@@ -69,7 +70,10 @@ def scan_blocks(paths: DataFrame, separator: int, dtype: str, block_tokens: int)
         "path",
         "length",
         F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col("length") / (width * block_tokens)) - 1, F.lit(0)))).alias("block"),
-    ).repartition("path", "block")
+    )
+    # a list this short would be coalesced to one task; a number given here is kept
+    total = paths.agg(F.sum(F.floor(F.col("length") / (width * block_tokens)) + 1)).first()[0] or 1
+    cut = cut.repartition(int(min(total, MOST_TASKS)))
 
     def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for path, length, block in zip(*(batch[c].to_pylist() for c in ("path", "length", "block")), strict=True):
