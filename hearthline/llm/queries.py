@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from hearthline.llm import decontaminate as contamination, warc
 from hearthline.llm.common import read
 from hearthline.llm.importance import fit_ratio, resample
+from hearthline.llm.near_dedup import near_duplicates
 from hearthline.llm.packing import pack
 from hearthline.llm.quality_lines import fit_lines, quality_rules
 from hearthline.llm.separator_scan import token_counts
@@ -55,6 +56,11 @@ def op10_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(docs, fit_ratio(docs, read(spark, sf_dir, "labels")))
 
 
+@registered
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "documents")).drop("rid")
+
+
 @registered
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("text_key")
