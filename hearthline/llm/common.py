@@ -34,3 +34,17 @@ def map_arrow(df: DataFrame, step: Callable[[pa.RecordBatch], Iterator[pa.Record
                 yield from out
 
     return df.mapInArrow(run, schema)
+
+
+def thinned(rows: DataFrame, wanted: DataFrame, key: str, words: int = 1 << 18) -> DataFrame:
+    """Rows that may have a wanted key (a long), before they are shuffled for the exact join.
+
+    The wanted keys set bits in a map of ``words`` 64-bit words, which is broadcast: at most that many rows whatever the input. No
+    wanted row is lost; when the map is full, which takes tens of millions of keys, it merely stops saving anything.
+    """
+    place = F.pmod(F.xxhash64(F.col(key)), F.lit(words * 64))
+    word, bit = F.shiftright(place, 6).alias("__word"), place.bitwiseAND(F.lit(63)).cast("int")
+    bits = wanted.select(word, bit.alias("__bit")).select("__word", F.expr("shiftleft(1L, __bit)").alias("__set"))
+    bits = bits.groupBy("__word").agg(F.bit_or("__set").alias("__bits"))
+    met = rows.withColumn("__at", place).withColumn("__word", F.shiftright("__at", 6)).join(F.broadcast(bits), "__word")
+    return met.where(F.getbit("__bits", F.col("__at").bitwiseAND(F.lit(63)).cast("int")) == 1).select(*rows.columns)

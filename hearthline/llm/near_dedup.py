@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from hearthline.llm.common import map_arrow, staged, texts_of
+from hearthline.llm.common import map_arrow, staged, texts_of, thinned
 from hearthline.llm.ngrams import LETTER, lowered
 from hearthline.llm.textblocks import Block, U, blocks, mix, window_hash
 
@@ -214,7 +214,7 @@ def near_duplicates(
     nodes = signed.join(copies.select(F.col("node").alias("rid")), "rid", "left_semi").select("rid", "bands")
     pairs = staged(candidates(nodes, bands, small), "pairs")
     wanted = pairs.select(F.col("a").alias("rid")).union(pairs.select("b")).distinct()
-    texts = rows.select("rid", "text").join(wanted, "rid")
+    texts = thinned(rows.select("rid", "text"), wanted, "rid")
     left, right = texts.select(F.col("rid").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("rid").alias("b"), F.col("text").alias("text_b"))
     links = staged(similar(pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b"), weight, similarity), "links")
     degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count("*").alias("n_links"))
