@@ -4,9 +4,9 @@ A word is removed if a window of ``size`` words over it also starts earlier: in
 
 Level one counts windows of half that size. Of these each full window shows only the one with the smallest hash, so a text sends about
 a sixth of its windows, and equal full windows always show the same half. Only windows whose shown half is repeated are extended to
-twice its length, hashed with 128 bits, and compared in full; at this last length the first start of each repeated window is found by an
-aggregation that combines on the map side, and joined back. So a passage in a third of all rows is one row per task in the aggregation,
-and in the joins a key that adaptive execution splits. Texts are shuffled once, by row, and that exchange serves both text passes.
+twice its length, and their 96-bit hashes compared. Of equal windows a batch sends only its first: the others have an earlier one in the
+same batch. So a passage in a third of all rows is one row per batch where starts are compared, and in the joins of level one a key that
+adaptive execution splits. Texts are shuffled once, by row, and that exchange serves both text passes.
 
 Null and empty texts have no words. Rows are told apart by their place in the scan: rows that repeat a doc_id count as later the later
 they stand, and a null doc_id is later than any other.
@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from hearthline.llm.common import texts_of
 from hearthline.llm.textblocks import Block, U, blocks, mix, window_hash
@@ -79,10 +79,17 @@ def level_one(docs: DataFrame, size: int) -> DataFrame:
 
 
 def extended(texts: DataFrame, size: int) -> DataFrame:
-    """Full windows whose shown half is among the text's repeated ``halves``: rid, doc_id, start and a 128-bit hash."""
+    """Full windows whose shown half is among the text's repeated ``halves``, with a 96-bit hash (h1, h2).
+
+    Of equal windows of a batch only the first is sent (rid, doc_id, start); the others are later for certain, and go as one row
+    per text that lists their starts.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            rid, names = batch["rid"].to_numpy(), batch["doc_id"]
+            none, doc = np.asarray(names.is_null()), np.asarray(names.fill_null(0))
+            parts = []
             for block in blocks(batch["text"]):
                 halves = batch["halves"][block.rows]
                 flat = np.asarray(halves.flatten()).view(np.uint64)
@@ -92,18 +99,32 @@ def extended(texts: DataFrame, size: int) -> DataFrame:
                 hit = np.isin(mix(low + mix(owner.astype(U) + U(1))), mix(flat + mix(of.astype(U) + U(1))))
                 full, owner = full[hit], owner[hit]
                 a, b = window_hash(block.word_hash(0), full, size, 0), window_hash(block.word_hash(1), full, size, 1)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch["rid"][block.rows].take(pa.array(owner)),
-                        batch["doc_id"][block.rows].take(pa.array(owner)),
-                        pa.array((full - block.first[owner]).astype(np.int32)),
-                        pa.array(a.view(np.int64)),
-                        pa.array(b.view(np.int64)),
-                    ],
-                    names=["rid", "doc_id", "start", "h1", "h2"],
-                )
-
-    return texts.select("rid", "doc_id", "text", "halves").mapInArrow(run, "rid long, doc_id long, start int, h1 long, h2 long")
+                parts.append((a, b >> U(32), owner + block.rows.start, full - block.first[owner]))
+            h1, h2, row, start = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.lexsort((start, rid[row], doc[row], none[row], h2, h1))
+            h1, h2, row, start = h1[order], h2[order], row[order], start[order]
+            first = np.ones(len(h1), dtype=bool)
+            first[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+            later_row, later_start = row[~first], start[~first]
+            by_row = np.argsort(later_row, kind="stable")
+            later_row, later_start = later_row[by_row], later_start[by_row]
+            own = np.flatnonzero(np.r_[True, later_row[1:] != later_row[:-1]]) if len(later_row) else np.zeros(0, np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(own, len(later_row)).astype(np.int32)), pa.array(later_start.astype(np.int32)))
+            n, m = int(first.sum()), len(own)
+            holder = later_row[own]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.concatenate([rid[row[first]], rid[holder]])),
+                    names.take(pa.array(np.concatenate([row[first], holder]))),
+                    pa.concat_arrays([pa.array(start[first].astype(np.int32)), pa.nulls(m, pa.int32())]),
+                    pa.array(np.concatenate([h1[first].view(np.int64), rid[holder]])),
+                    pa.array(np.concatenate([h2[first].astype(np.int64), np.full(m, -1, dtype=np.int64)])),
+                    pa.concat_arrays([pa.nulls(n, pa.list_(pa.int32())), lists.cast(pa.list_(pa.int32()))]),
+                ],
+                names=["rid", "doc_id", "start", "h1", "h2", "later"],
+            )
+
+    return texts.select("rid", "doc_id", "text", "halves").mapInArrow(run, "rid long, doc_id long, start int, h1 long, h2 long, later array<int>")
 
 
 def removed(texts: DataFrame, size: int) -> DataFrame:
@@ -147,7 +168,13 @@ def substring_dedup(docs: DataFrame, size: int = SIZE) -> DataFrame:
     repeated = shown.groupBy("half").agg(F.sum("times").alias("n")).where("n > 1").select("half")
     halves = shown.join(repeated, "half").groupBy("rid").agg(F.collect_list("half").alias("halves"))
     full = extended(rows.join(halves, "rid"), size)
-    place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("rid"), F.col("start"))
-    first = full.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    starts = full.join(first, ["h1", "h2"]).where(place > F.col("first")).groupBy("rid").agg(F.collect_list("start").alias("starts"))
+    # a window is met once per batch at most, so a group is as large as the number of batches, not of its copies
+    order = Window.partitionBy("h1", "h2").orderBy(F.col("doc_id").asc_nulls_last(), "rid", "start")
+    starts = (
+        full.withColumn("nth", F.row_number().over(order))
+        .where("nth > 1 OR later IS NOT NULL")
+        .groupBy("rid")
+        .agg(F.collect_list("start").alias("one"), F.flatten(F.collect_list("later")).alias("many"))
+        .select("rid", F.concat("one", "many").alias("starts"))
+    )
     return removed(rows.join(starts, "rid", "left"), size)
