@@ -11,6 +11,7 @@ from hearthline.llm.common import read
 from hearthline.llm.importance import fit_ratio, resample
 from hearthline.llm.near_dedup import near_duplicates
 from hearthline.llm.packing import pack
+from hearthline.llm.pii import find_personal, fit_tagger
 from hearthline.llm.quality_lines import fit_lines, quality_rules
 from hearthline.llm.separator_scan import token_counts
 from hearthline.llm.substring_dedup import substring_dedup
@@ -71,6 +72,12 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(spark, read(spark, sf_dir, "pages"))
 
 
+@registered
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return find_personal(docs, fit_tagger(docs))
+
+
 @registered
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(read(spark, sf_dir, "documents")).drop("kept")
