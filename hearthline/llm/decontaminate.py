@@ -54,6 +54,11 @@ def winnowed(grams: Column) -> Column:
     )
 
 
+def runs(w: Column, n: int) -> Column:
+    """Every n consecutive words."""
+    return F.transform(F.slice(w, 1, F.size(w) - (n - 1)), lambda x, i: F.array(x, *(F.get(w, i + k) for k in range(1, n))))
+
+
 def item_fingerprints(items: DataFrame) -> DataFrame:
     """mark, item_id, lead (words of the context before the gram), around (the gram with up to five words on either side)."""
     w = F.col("w")
@@ -116,7 +121,7 @@ def hits(docs: DataFrame, items: DataFrame, broadcast_rows: int) -> DataFrame:
     if lengths:
         branches = [
             texts.where(F.size("w") >= n)
-            .select("doc_id", "text_key", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i, n=n: F.slice("w", i, n))).alias("p", "w"))
+            .select("doc_id", "text_key", F.posexplode(runs(F.col("w"), n)).alias("p", "w"))
             .join(short.where(F.size("w") == n), "w")
             .select("doc_id", "text_key", F.lit(None).cast("int").alias("n_words"), "item_id", F.lit(n).alias("size"), F.array("p").alias("starts"))
             for n in lengths

@@ -60,7 +60,7 @@ def log_importance(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
         for batch in batches:
             for block in blocks(batch["text"], LETTER):
                 owner, bucket = word_mark_pairs(block, len(ratio))
-                weight = np.bincount(owner, weights=ratio[bucket], minlength=block.n)
+                weight = np.bincount(owner, weights=ratio[bucket], minlength=block.n).astype(np.float64)
                 yield pa.RecordBatch.from_arrays([batch["doc_id"][block.rows], pa.array(weight)], names=["doc_id", "log_weight"])
 
     return texts_of(docs).mapInArrow(run, "doc_id long, log_weight double")
