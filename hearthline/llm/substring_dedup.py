@@ -101,10 +101,16 @@ def extended(texts: DataFrame, size: int) -> DataFrame:
                 a, b = window_hash(block.word_hash(0), full, size, 0), window_hash(block.word_hash(1), full, size, 1)
                 parts.append((a, b >> U(32), owner + block.rows.start, full - block.first[owner]))
             h1, h2, row, start = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.lexsort((start, rid[row], doc[row], none[row], h2, h1))
-            h1, h2, row, start = h1[order], h2[order], row[order], start[order]
-            first = np.ones(len(h1), dtype=bool)
-            first[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+            del parts
+            rank = np.empty(len(rid), dtype=np.int64)
+            rank[np.lexsort((rid, doc, none))] = np.arange(len(rid))
+            order = np.lexsort(((rank[row] << 32) | start, h2, h1))
+            same = np.zeros(len(order), dtype=bool)
+            same[1:] = (h1[order[1:]] == h1[order[:-1]]) & (h2[order[1:]] == h2[order[:-1]])
+            # back in the order of the texts, where neighbouring rows share their ids and so take little room
+            first = np.ones(len(order), dtype=bool)
+            first[order[same]] = False
+            del order, same
             later_row, later_start = row[~first], start[~first]
             by_row = np.argsort(later_row, kind="stable")
             later_row, later_start = later_row[by_row], later_start[by_row]
