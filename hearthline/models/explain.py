@@ -27,15 +27,16 @@ def permutation_importance(
     score: Callable[[DataFrame], DataFrame],
     *,
     repeats: int = 5,
-    sample: int = 4000,
+    sample: int | None = None,
     seed: int = 42,
 ) -> DataFrame:
     """(feature, importance_mean, importance_std): drop in QWK when one column is shuffled.
 
     Rows carry the true code ``t``; ``score`` adds the predicted code ``p``. All
-    variants are scored as one table and judged by one grouped count.
+    variants are scored as one table and judged by one grouped count. All rows
+    are used unless ``sample`` asks for that many, chosen by a hash of the id.
     """
-    base = staged(hash_sample(df, sample, id_col, seed), "importance")
+    base = staged(df if sample is None else hash_sample(df, sample, id_col, seed), "importance")
     rest = [c for c in base.columns]
     variants = [base.select(F.lit("").alias("feature"), F.lit(0).alias("repeat"), *rest)]
     for f in features:

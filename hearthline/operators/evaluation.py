@@ -164,9 +164,12 @@ def segment_metrics(
     min_support: int = 30,
     points: Iterable[int] = (5, 10, 15),
 ) -> DataFrame:
-    """Every metric per segment of at least ``min_support`` rows, from one pass over the rows."""
+    """Every metric per segment of at least ``min_support`` rows, from one pass over the rows.
+
+    Rows without a segment, a true or a predicted score are left out before anything is counted.
+    """
     points = list(points)
-    rows = prediction_frame(df.where(F.col(segment).isNotNull()), score_true, score_pred, [segment])
+    rows = prediction_frame(df.dropna(subset=[segment, score_true, score_pred]), score_true, score_pred, [segment])
     err = F.col("yhat") - F.col("y")
     cells = rows.groupBy(segment, "t", "p").agg(
         F.count(F.lit(1)).alias("n"),
@@ -231,7 +234,11 @@ def is_monotone(bins: DataFrame, order: str = "quantile", metric: str = "qwk") -
 
 
 def reliability(df: DataFrame, label: str, prob: str, bins: int = 10) -> DataFrame:
-    """Mean probability and observed share per equal-width bin, with the Brier score on every row."""
+    """Mean probability and observed share per equal-width bin, with the Brier score on every row.
+
+    Rows without a label or a probability are left out.
+    """
+    df = df.dropna(subset=[label, prob])
     index = _total([F.when(F.col(prob) >= i * (1.0 / bins), 1).otherwise(0) for i in range(1, bins)])
     sq = F.pow(F.col(prob) - F.col(label), 2)
     cells = df.groupBy(index.alias("bin")).agg(

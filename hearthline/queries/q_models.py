@@ -311,7 +311,7 @@ def mdl18(spark, d):
         return model.predict_band(fitted.transform(rows)).withColumn("p", S.encode_band(F.col("predicted_band")))
 
     test = _frame(spark, d).where("split = 'test'").select("LMK_KEY", "REPORT_TYPE", "t", *FEATURES)
-    return rounded(explain.permutation_importance(test, FEATURES[:3], "LMK_KEY", score, repeats=2, sample=1000))
+    return rounded(explain.permutation_importance(test, FEATURES[:3], "LMK_KEY", score, repeats=2))
 
 
 @query("mdl19_ordinal_decomposition")

@@ -27,14 +27,22 @@ def build_session(app: str = "hearthline", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
+def require_local(master: str) -> None:
+    """Raise unless all tasks run on the driver's machine and see its folders."""
+    if master != "local" and not master.startswith("local["):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that the driver and all executors of {master} share")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder named by ``spark.checkpoint.dir``.
 
-    Only a session that names none (a local test) gets a folder of its own.
+    Only a local session that names none gets a folder of its own; on a cluster, where executors would
+    each write to their own disk, the setting is required.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    require_local(spark.sparkContext.master)
     own = tempfile.mkdtemp(prefix="hearthline-")
     spark.conf.set("spark.checkpoint.dir", own)
     return own

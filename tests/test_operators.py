@@ -353,3 +353,22 @@ def test_measure_names_in_summary(spark):
     assert got[None]["count"] == 2 and got[None]["cost_mid_median"] == 5
     assert got["x"]["cost_high_median"] == 25 and got["x"]["cost_mid_mean"] == 20
     assert S is not None
+
+
+def test_scratch_folder_needs_a_setting_on_a_cluster():
+    from hearthline.session import require_local
+
+    require_local("local[4]")
+    for master in ("spark://host:7077", "local-cluster[2,1,1024]", "yarn"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            require_local(master)
+
+
+def test_metrics_leave_out_null_scores(spark):
+    from hearthline.operators.evaluation import reliability, segment_metrics
+
+    rows = spark.createDataFrame([("a", 80, 70), ("a", None, 60), ("a", 50, None)], "s string, t int, p int")
+    got = segment_metrics(rows, "s", "t", "p", min_support=1).first()
+    assert (got.n, got.mae, got.rmse) == (1, 10.0, 10.0)
+    bins = reliability(spark.createDataFrame([(1, 0.05), (0, None), (None, 0.5)], "y int, p double"), "y", "p").collect()
+    assert [(r.bin, r.n) for r in bins] == [(0, 1)]
