@@ -91,10 +91,11 @@ ROLES = {
         "LIGHTING_COST_CURRENT", "LIGHTING_COST_POTENTIAL", "HEATING_COST_CURRENT",
         "HEATING_COST_POTENTIAL", "HOT_WATER_COST_CURRENT", "HOT_WATER_COST_POTENTIAL",
     ),
-    "element": tuple(
-        f"{part}_{kind}_EFF"
-        for part in ("HOT_WATER", "FLOOR", "WINDOWS", "WALLS", "SHEATING", "ROOF", "MAINHEAT", "MAINHEATC", "LIGHTING")
-        for kind in ("ENERGY", "ENV")
+    "element": (
+        "HOT_WATER_ENERGY_EFF", "HOT_WATER_ENV_EFF", "FLOOR_ENERGY_EFF", "FLOOR_ENV_EFF", "WINDOWS_ENERGY_EFF",
+        "WINDOWS_ENV_EFF", "WALLS_ENERGY_EFF", "WALLS_ENV_EFF", "SHEATING_ENERGY_EFF", "SHEATING_ENV_EFF",
+        "ROOF_ENERGY_EFF", "ROOF_ENV_EFF", "MAINHEAT_ENERGY_EFF", "MAINHEAT_ENV_EFF", "MAINHEATC_ENERGY_EFF",
+        "MAINHEATC_ENV_EFF", "LIGHTING_ENERGY_EFF", "LIGHTING_ENV_EFF",
     ),
     "personal": ("ADDRESS1", "ADDRESS2", "ADDRESS3", "ADDRESS", "POSTCODE", "UPRN", "BUILDING_REFERENCE_NUMBER"),
     "admin": (
@@ -105,9 +106,10 @@ ROLES = {
         "TOTAL_FLOOR_AREA", "NUMBER_HABITABLE_ROOMS", "WALLS_DESCRIPTION", "ROOF_DESCRIPTION",
         "WINDOWS_DESCRIPTION", "MAINHEAT_DESCRIPTION", "CONSTRUCTION_AGE_BAND", "PROPERTY_TYPE", "BUILT_FORM",
     ),
-    "description": tuple(
-        f"{part}_DESCRIPTION"
-        for part in ("WALLS", "ROOF", "WINDOWS", "MAINHEAT", "MAINHEATCONT", "HOTWATER", "FLOOR", "LIGHTING", "SECONDHEAT")
+    "description": (
+        "WALLS_DESCRIPTION", "ROOF_DESCRIPTION", "WINDOWS_DESCRIPTION", "MAINHEAT_DESCRIPTION",
+        "MAINHEATCONT_DESCRIPTION", "HOTWATER_DESCRIPTION", "FLOOR_DESCRIPTION", "LIGHTING_DESCRIPTION",
+        "SECONDHEAT_DESCRIPTION",
     ),
     "methodology": ("REPORT_TYPE", "LODGEMENT_DATE"),
     "superseded": ("FLOOR_LEVEL",),
@@ -116,50 +118,46 @@ ROLES = {
 # ---------------------------------------------------------------------------
 # Declared schemas, column -> Spark type, in file order.
 # ---------------------------------------------------------------------------
-_INTEGERS = """CURRENT_ENERGY_EFFICIENCY POTENTIAL_ENERGY_EFFICIENCY ENVIRONMENTAL_IMPACT_CURRENT
-ENVIRONMENTAL_IMPACT_POTENTIAL EXTENSION_COUNT LOW_ENERGY_LIGHTING NUMBER_OPEN_FIREPLACES REPORT_TYPE""".split()
-_DOUBLES = """ENERGY_CONSUMPTION_CURRENT ENERGY_CONSUMPTION_POTENTIAL CO2_EMISSIONS_CURRENT
-CO2_EMISS_CURR_PER_FLOOR_AREA CO2_EMISSIONS_POTENTIAL LIGHTING_COST_CURRENT LIGHTING_COST_POTENTIAL
-HEATING_COST_CURRENT HEATING_COST_POTENTIAL HOT_WATER_COST_CURRENT HOT_WATER_COST_POTENTIAL TOTAL_FLOOR_AREA
-FLAT_STOREY_COUNT MULTI_GLAZE_PROPORTION NUMBER_HABITABLE_ROOMS NUMBER_HEATED_ROOMS WIND_TURBINE_COUNT
-UNHEATED_CORRIDOR_LENGTH FLOOR_HEIGHT PHOTO_SUPPLY FIXED_LIGHTING_OUTLETS_COUNT
-LOW_ENERGY_FIXED_LIGHT_COUNT""".split()
-_ORDER = """LMK_KEY ADDRESS1 ADDRESS2 ADDRESS3 POSTCODE BUILDING_REFERENCE_NUMBER CURRENT_ENERGY_RATING
-POTENTIAL_ENERGY_RATING CURRENT_ENERGY_EFFICIENCY POTENTIAL_ENERGY_EFFICIENCY PROPERTY_TYPE BUILT_FORM
-INSPECTION_DATE LOCAL_AUTHORITY CONSTITUENCY COUNTY LODGEMENT_DATE TRANSACTION_TYPE ENVIRONMENTAL_IMPACT_CURRENT
-ENVIRONMENTAL_IMPACT_POTENTIAL ENERGY_CONSUMPTION_CURRENT ENERGY_CONSUMPTION_POTENTIAL CO2_EMISSIONS_CURRENT
-CO2_EMISS_CURR_PER_FLOOR_AREA CO2_EMISSIONS_POTENTIAL LIGHTING_COST_CURRENT LIGHTING_COST_POTENTIAL
-HEATING_COST_CURRENT HEATING_COST_POTENTIAL HOT_WATER_COST_CURRENT HOT_WATER_COST_POTENTIAL TOTAL_FLOOR_AREA
-ENERGY_TARIFF MAINS_GAS_FLAG FLOOR_LEVEL FLAT_TOP_STOREY FLAT_STOREY_COUNT MAIN_HEATING_CONTROLS
-MULTI_GLAZE_PROPORTION GLAZED_TYPE GLAZED_AREA EXTENSION_COUNT NUMBER_HABITABLE_ROOMS NUMBER_HEATED_ROOMS
-LOW_ENERGY_LIGHTING NUMBER_OPEN_FIREPLACES HOTWATER_DESCRIPTION HOT_WATER_ENERGY_EFF HOT_WATER_ENV_EFF
-FLOOR_DESCRIPTION FLOOR_ENERGY_EFF FLOOR_ENV_EFF WINDOWS_DESCRIPTION WINDOWS_ENERGY_EFF WINDOWS_ENV_EFF
-WALLS_DESCRIPTION WALLS_ENERGY_EFF WALLS_ENV_EFF SECONDHEAT_DESCRIPTION SHEATING_ENERGY_EFF SHEATING_ENV_EFF
-ROOF_DESCRIPTION ROOF_ENERGY_EFF ROOF_ENV_EFF MAINHEAT_DESCRIPTION MAINHEAT_ENERGY_EFF MAINHEAT_ENV_EFF
-MAINHEATCONT_DESCRIPTION MAINHEATC_ENERGY_EFF MAINHEATC_ENV_EFF LIGHTING_DESCRIPTION LIGHTING_ENERGY_EFF
-LIGHTING_ENV_EFF MAIN_FUEL WIND_TURBINE_COUNT HEAT_LOSS_CORRIDOR UNHEATED_CORRIDOR_LENGTH FLOOR_HEIGHT
-PHOTO_SUPPLY SOLAR_WATER_HEATING_FLAG MECHANICAL_VENTILATION ADDRESS LOCAL_AUTHORITY_LABEL CONSTITUENCY_LABEL
-POSTTOWN CONSTRUCTION_AGE_BAND LODGEMENT_DATETIME TENURE FIXED_LIGHTING_OUTLETS_COUNT
-LOW_ENERGY_FIXED_LIGHT_COUNT UPRN UPRN_SOURCE REPORT_TYPE""".split()
-_SPECIAL = {
-    "UPRN": "bigint", "INSPECTION_DATE": "date", "LODGEMENT_DATE": "date", "LODGEMENT_DATETIME": "timestamp_ntz",
+CERTIFICATE_TYPES = {
+    "LMK_KEY": "string", "ADDRESS1": "string", "ADDRESS2": "string", "ADDRESS3": "string", "POSTCODE": "string",
+    "BUILDING_REFERENCE_NUMBER": "string", "CURRENT_ENERGY_RATING": "string", "POTENTIAL_ENERGY_RATING": "string",
+    "CURRENT_ENERGY_EFFICIENCY": "int", "POTENTIAL_ENERGY_EFFICIENCY": "int", "PROPERTY_TYPE": "string",
+    "BUILT_FORM": "string", "INSPECTION_DATE": "date", "LOCAL_AUTHORITY": "string", "CONSTITUENCY": "string",
+    "COUNTY": "string", "LODGEMENT_DATE": "date", "TRANSACTION_TYPE": "string",
+    "ENVIRONMENTAL_IMPACT_CURRENT": "int", "ENVIRONMENTAL_IMPACT_POTENTIAL": "int",
+    "ENERGY_CONSUMPTION_CURRENT": "double", "ENERGY_CONSUMPTION_POTENTIAL": "double",
+    "CO2_EMISSIONS_CURRENT": "double", "CO2_EMISS_CURR_PER_FLOOR_AREA": "double",
+    "CO2_EMISSIONS_POTENTIAL": "double", "LIGHTING_COST_CURRENT": "double", "LIGHTING_COST_POTENTIAL": "double",
+    "HEATING_COST_CURRENT": "double", "HEATING_COST_POTENTIAL": "double", "HOT_WATER_COST_CURRENT": "double",
+    "HOT_WATER_COST_POTENTIAL": "double", "TOTAL_FLOOR_AREA": "double", "ENERGY_TARIFF": "string",
+    "MAINS_GAS_FLAG": "string", "FLOOR_LEVEL": "string", "FLAT_TOP_STOREY": "string",
+    "FLAT_STOREY_COUNT": "double", "MAIN_HEATING_CONTROLS": "string", "MULTI_GLAZE_PROPORTION": "double",
+    "GLAZED_TYPE": "string", "GLAZED_AREA": "string", "EXTENSION_COUNT": "int", "NUMBER_HABITABLE_ROOMS": "double",
+    "NUMBER_HEATED_ROOMS": "double", "LOW_ENERGY_LIGHTING": "int", "NUMBER_OPEN_FIREPLACES": "int",
+    "HOTWATER_DESCRIPTION": "string", "HOT_WATER_ENERGY_EFF": "string", "HOT_WATER_ENV_EFF": "string",
+    "FLOOR_DESCRIPTION": "string", "FLOOR_ENERGY_EFF": "string", "FLOOR_ENV_EFF": "string",
+    "WINDOWS_DESCRIPTION": "string", "WINDOWS_ENERGY_EFF": "string", "WINDOWS_ENV_EFF": "string",
+    "WALLS_DESCRIPTION": "string", "WALLS_ENERGY_EFF": "string", "WALLS_ENV_EFF": "string",
+    "SECONDHEAT_DESCRIPTION": "string", "SHEATING_ENERGY_EFF": "string", "SHEATING_ENV_EFF": "string",
+    "ROOF_DESCRIPTION": "string", "ROOF_ENERGY_EFF": "string", "ROOF_ENV_EFF": "string",
+    "MAINHEAT_DESCRIPTION": "string", "MAINHEAT_ENERGY_EFF": "string", "MAINHEAT_ENV_EFF": "string",
+    "MAINHEATCONT_DESCRIPTION": "string", "MAINHEATC_ENERGY_EFF": "string", "MAINHEATC_ENV_EFF": "string",
+    "LIGHTING_DESCRIPTION": "string", "LIGHTING_ENERGY_EFF": "string", "LIGHTING_ENV_EFF": "string",
+    "MAIN_FUEL": "string", "WIND_TURBINE_COUNT": "double", "HEAT_LOSS_CORRIDOR": "string",
+    "UNHEATED_CORRIDOR_LENGTH": "double", "FLOOR_HEIGHT": "double", "PHOTO_SUPPLY": "double",
+    "SOLAR_WATER_HEATING_FLAG": "string", "MECHANICAL_VENTILATION": "string", "ADDRESS": "string",
+    "LOCAL_AUTHORITY_LABEL": "string", "CONSTITUENCY_LABEL": "string", "POSTTOWN": "string",
+    "CONSTRUCTION_AGE_BAND": "string", "LODGEMENT_DATETIME": "timestamp_ntz", "TENURE": "string",
+    "FIXED_LIGHTING_OUTLETS_COUNT": "double", "LOW_ENERGY_FIXED_LIGHT_COUNT": "double", "UPRN": "bigint",
+    "UPRN_SOURCE": "string", "REPORT_TYPE": "int",
 }
-
-
-def _declared(name: str) -> str:
-    if name in _SPECIAL:
-        return _SPECIAL[name]
-    return "int" if name in _INTEGERS else "double" if name in _DOUBLES else "string"
-
-
-CERTIFICATE_TYPES = {name: _declared(name) for name in _ORDER}
 RECOMMENDATION_TYPES = {
     "LMK_KEY": "string", "IMPROVEMENT_ITEM": "int", "IMPROVEMENT_SUMMARY_TEXT": "string",
     "IMPROVEMENT_DESCR_TEXT": "string", "IMPROVEMENT_ID": "int", "IMPROVEMENT_ID_TEXT": "string",
     "INDICATIVE_COST": "string",
 }
 # Columns cast to number before any rule is applied.
-CLEAN_NUMERIC = tuple(c for c in _ORDER if c in _INTEGERS or c in _DOUBLES)
+CLEAN_NUMERIC = tuple(c for c, kind in CERTIFICATE_TYPES.items() if kind in ("int", "double"))
 LONGITUDINAL_NUMERIC = (
     "CURRENT_ENERGY_EFFICIENCY", "TOTAL_FLOOR_AREA", "NUMBER_HABITABLE_ROOMS", "NUMBER_HEATED_ROOMS",
     "CO2_EMISSIONS_CURRENT", "ENERGY_CONSUMPTION_CURRENT", "REPORT_TYPE",
