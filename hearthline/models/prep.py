@@ -6,8 +6,8 @@ from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.ml import Pipeline
-from pyspark.ml.feature import Imputer, OneHotEncoder, RobustScaler, SQLTransformer, StringIndexer, VectorAssembler
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import NumericType
 
@@ -48,20 +48,21 @@ def column_groups(df: DataFrame, cols: Iterable[str] | None = None, low_card: in
 # --- exact preparation steps ----------------------------------------------------------------------
 
 
-def impute_and_scale(df: DataFrame, train: Column, cols: list[str]) -> DataFrame:
-    """Median imputation, then (x - median) / interquartile range, both from the training rows."""
-    learn = df.where(train).select(*[F.col(c).cast("double").alias(c) for c in cols])
+def fit_numeric(train: DataFrame, cols: list[str]) -> dict[str, tuple[float, float]]:
+    """(median, interquartile range after imputation) per column, exact; 0 and 1 where there is nothing to measure."""
+    learn = train.select(*[F.col(c).cast("double").alias(c) for c in cols])
     medians = exact_percentiles(learn.unpivot([], cols, "column", "value"), "value", {"m": 0.5}, ["column"])
-    fill = {r["column"]: r["m"] for r in medians.collect()}  # one row per column
-    filled = learn.select(*[F.coalesce(F.col(c), F.lit(fill.get(c))).alias(c) for c in cols])
+    fill = {c: 0.0 for c in cols} | {r["column"]: r["m"] for r in medians.collect()}  # one row per column
+    filled = learn.fillna(fill)
     quart = exact_percentiles(filled.unpivot([], cols, "column", "value"), "value", {"q1": 0.25, "q3": 0.75}, ["column"])
     span = {r["column"]: (r["q3"] - r["q1"]) or 1.0 for r in quart.collect()}
-    return df.withColumns(
-        {
-            c: (F.coalesce(F.col(c).cast("double"), F.lit(fill.get(c))) - F.lit(fill.get(c))) / F.lit(span.get(c, 1.0))
-            for c in cols
-        }
-    )
+    return {c: (fill[c], span.get(c, 1.0)) for c in cols}
+
+
+def impute_and_scale(df: DataFrame, train: Column, cols: list[str]) -> DataFrame:
+    """Median imputation, then (x - median) / interquartile range, both from the training rows."""
+    fitted = fit_numeric(df.where(train), cols)
+    return df.withColumns({c: (F.coalesce(F.col(c).cast("double"), F.lit(m)) - F.lit(m)) / F.lit(q) for c, (m, q) in fitted.items()})
 
 
 @dataclass(frozen=True)
@@ -88,9 +89,10 @@ def fit_levels(df: DataFrame, train: Column, cols: list[str], min_count: int = R
     long = df.where(train).select(*[F.col(c).cast("string").alias(c) for c in cols]).unpivot([], cols, "column", "value")
     counts = long.where(F.col("value").isNotNull()).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
     nulls = df.where(train).agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).first()
-    rows = counts.limit(LOW_CARD * len(cols) + 1).collect()  # low-cardinality columns by definition
-    if len(rows) > LOW_CARD * len(cols):
-        raise ValueError(f"more than {LOW_CARD} levels per column; encode these columns by rank instead")
+    wide = counts.groupBy("column").agg(F.count(F.lit(1)).alias("levels")).where(F.col("levels") > LOW_CARD).collect()  # one row per column
+    if wide:
+        raise ValueError(f"more than {LOW_CARD} levels; encode by rank instead: {sorted(r['column'] for r in wide)}")
+    rows = counts.collect()  # at most LOW_CARD rows per column
     mode, kept, rare = {}, {}, {}
     for c in cols:
         mine = sorted(((r["value"], r["n"]) for r in rows if r["column"] == c), key=lambda x: (-x[1], x[0]))
@@ -146,39 +148,54 @@ def split_groups(df: DataFrame, cols: Iterable[str]) -> dict[str, list[str]]:
     return {g: [r["column"] for r in picked if r["group"] == g] for g in ("numeric", "low_card", "high_card")}
 
 
-def preparation_stages(groups: dict[str, list[str]], *, scale: bool = True, features: str = "features") -> list:
-    """Stages that fit on training rows only: impute, scale, index, one-hot, assemble.
+def _text(value: str) -> str:
+    """A value as an SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
 
-    ``scale=False`` is the tree variant. Null text must be filled beforehand.
+@dataclass(frozen=True)
+class Preparation:
+    """The exact steps above as stages that can be saved: ``fit`` learns from the rows it is given only.
+
+    Numbers take their median and, if ``scale``, are centred and divided by the interquartile range. A level of a low-cardinality
+    column has its own 0/1 column, levels of fewer than ``min_count`` rows share one, and an unknown level is all zeros. Other text
+    becomes the alphabetical code of its level, -1 if unknown. Trees take ``scale=False``. Null text must be filled beforehand
+    (``ready``).
     """
-    numeric, low, high = groups["numeric"], groups["low_card"], groups["high_card"]
-    stages: list = []
-    parts: list[str] = []
-    if numeric:
-        stages.append(Imputer(inputCols=numeric, outputCols=[f"{c}__num" for c in numeric], strategy="median"))
-        if scale:
-            stages.append(VectorAssembler(inputCols=[f"{c}__num" for c in numeric], outputCol="_numeric"))
-            stages.append(RobustScaler(inputCol="_numeric", outputCol="_scaled", withCentering=True))
-            parts.append("_scaled")
-        else:
-            parts += [f"{c}__num" for c in numeric]
-    if low:
-        stages.append(StringIndexer(inputCols=low, outputCols=[f"{c}__idx" for c in low], handleInvalid="keep", stringOrderType="alphabetAsc"))
-        stages.append(OneHotEncoder(inputCols=[f"{c}__idx" for c in low], outputCols=[f"{c}__hot" for c in low], handleInvalid="keep"))
-        parts += [f"{c}__hot" for c in low]
-    if high:
-        stages.append(StringIndexer(inputCols=high, outputCols=[f"{c}__ord" for c in high], handleInvalid="keep", stringOrderType="alphabetAsc"))
-        # + 0.0 drops the nominal tag, so trees split the codes as numbers
-        codes = ", ".join(f"`{c}__ord` + 0.0D AS `{c}__code`" for c in high)
-        stages.append(SQLTransformer(statement=f"SELECT *, {codes} FROM __THIS__"))
-        parts += [f"{c}__code" for c in high]
-    stages.append(VectorAssembler(inputCols=parts, outputCol=features, handleInvalid="keep"))
-    return stages
-
-
-def preparation(df: DataFrame, cols: list[str], *, scale: bool = True, features: str = "features") -> Pipeline:
-    """A ready-to-fit preparation for the columns of ``df``."""
-    return Pipeline(stages=preparation_stages(split_groups(df, cols), scale=scale, features=features))
+
+    cols: tuple[str, ...]
+    scale: bool = True
+    features: str = "features"
+    min_count: int = RARE_BELOW
+
+    def fit(self, train: DataFrame) -> PipelineModel:
+        groups = split_groups(train, self.cols)
+        numeric, low, high = groups["numeric"], groups["low_card"], groups["high_card"]
+        new: dict[str, str] = {}
+        for c, (m, q) in (fit_numeric(train, numeric) if numeric else {}).items():
+            filled = f"coalesce(double(`{c}`), {m!r}D)"
+            new[f"{c}__num"] = f"({filled} - ({m!r}D)) / {q!r}D" if self.scale else filled
+        if low:
+            levels = fit_levels(train, F.lit(True), low, self.min_count)
+            for c in low:
+                value = f"coalesce(`{c}`, {_text(levels.mode[c])})"
+                new |= {f"{c}__hot{i}": f"double({value} = {_text(v)})" for i, v in enumerate(levels.kept[c])}
+                if levels.rare[c]:
+                    new[f"{c}__rare"] = f"double({value} IN ({', '.join(map(_text, levels.rare[c]))}))"
+        parts = list(new)
+        stages: list = [SQLTransformer(statement=f"SELECT *{''.join(f', {e} AS `{c}`' for c, e in new.items())} FROM __THIS__")]
+        if high:
+            codes = StringIndexer(inputCols=high, outputCols=[f"{c}__ord" for c in high], handleInvalid="keep", stringOrderType="alphabetAsc").fit(train)
+            # the indexer puts unknown levels behind the last code
+            known = {f"{c}__code": f"CASE WHEN `{c}__ord` < {len(v)} THEN `{c}__ord` + 0.0D ELSE -1.0D END" for c, v in zip(high, codes.labelsArray, strict=True)}
+            stages += [codes, SQLTransformer(statement=f"SELECT *{''.join(f', {e} AS `{c}`' for c, e in known.items())} FROM __THIS__")]
+            parts += list(known)
+        stages.append(VectorAssembler(inputCols=parts, outputCol=self.features, handleInvalid="keep"))
+        return PipelineModel(stages=stages)
+
+
+def preparation(cols: Iterable[str], *, scale: bool = True, features: str = "features") -> Preparation:
+    return Preparation(tuple(cols), scale, features)
 
 
 def ready(df: DataFrame, cols: list[str]) -> DataFrame:

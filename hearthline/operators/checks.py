@@ -13,12 +13,14 @@ from hearthline.operators.repair import HABITABLE, HEATED
 
 
 def fingerprint(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """Row count and an order-free hash of the whole table."""
+    """Row count and an order-free hash of the whole table: the sum of 60 bits of each row's MD5.
+
+    A row's text is its values in order of column names; equal rows count as often as they occur.
+    """
     cols = sorted(cols or df.columns)
-    return df.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.coalesce(F.sum(F.xxhash64(*cols).cast("decimal(38,0)")), F.lit(0)).cast("string").alias("fingerprint"),
-    )
+    row = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x1e")) for c in cols])
+    part = F.conv(F.substring(F.md5(row.cast("binary")), 1, 15), 16, 10).cast("decimal(38,0)")
+    return df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(part), F.lit(0)).cast("string").alias("fingerprint"))
 
 
 def table_differences(left: DataFrame, right: DataFrame, cols: list[str] | None = None) -> DataFrame:

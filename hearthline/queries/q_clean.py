@@ -320,14 +320,20 @@ def jn4(spark, d):
 
 
 _SPL1 = f"CASE WHEN INSPECTION_DATE <= DATE '{CUT}' THEN 'train' WHEN INSPECTION_DATE > DATE '{CUT}' THEN 'test' END"
-_SPL2 = f"""{cert_cte('LMK_KEY', 'UPRN', 'INSPECTION_DATE', 'LOCAL_AUTHORITY')}, g AS (SELECT UPRN, max(INSPECTION_DATE) AS last FROM cert WHERE UPRN IS NOT NULL GROUP BY UPRN),
+_SPL2_STEPS = f"""g AS (SELECT UPRN, max(INSPECTION_DATE) AS last FROM cert WHERE UPRN IS NOT NULL GROUP BY UPRN),
  w AS (SELECT LMK_KEY, row_number() OVER (PARTITION BY UPRN ORDER BY INSPECTION_DATE DESC, LMK_KEY DESC) AS rn FROM cert WHERE UPRN IS NOT NULL),
  sp AS (SELECT LMK_KEY, c.UPRN, INSPECTION_DATE, CASE WHEN c.UPRN IS NULL THEN coalesce({_SPL1}, 'discard') WHEN last <= DATE '{CUT}' THEN 'train'
  WHEN rn = 1 THEN 'test' ELSE 'discard' END AS split FROM cert c LEFT JOIN g USING (UPRN) LEFT JOIN w USING (LMK_KEY))"""
+_SPL2 = f"{cert_cte('LMK_KEY', 'UPRN', 'INSPECTION_DATE', 'LOCAL_AUTHORITY')}, {_SPL2_STEPS}"
 _LATE_CUT = "2001-06-30"
 SPLIT_SQL = _SPL2.replace(CUT, _LATE_CUT)
 
 
+def split_steps_sql(cutoff: str) -> str:
+    """CTEs over ``cert`` that end in ``sp``, the split by dwelling and date."""
+    return _SPL2_STEPS.replace(CUT, cutoff)
+
+
 def _group_split(spark, d):
     return L.group_temporal_split(certificates(spark, d, "LMK_KEY", "UPRN", "INSPECTION_DATE", "LOCAL_AUTHORITY"), _LATE_CUT)
 
@@ -482,9 +488,13 @@ def set3(spark, d):
     return P.column_difference(spark, df, P.publishable(df))
 
 
-@query("fpr1_fingerprint")
+_ORDER_COLS = sorted("o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority".split())
+
+
+@query("fpr1_fingerprint", "SELECT count(*) AS n, CAST(sum(CAST('0x' || substr(md5(concat_ws(chr(31), "
+       + ", ".join(f"coalesce(CAST({c} AS VARCHAR), chr(30))" for c in _ORDER_COLS) + ")), 1, 15) AS BIGINT)) AS VARCHAR) AS fingerprint FROM orders")
 def fpr1(spark, d):
-    return checks.fingerprint(table(spark, d, "orders"))
+    return checks.fingerprint(table(spark, d, "orders").select(*_ORDER_COLS))
 
 
 _DQ1 = f"""WITH {CLEAN_CTES}, {SPLIT_SQL.replace('cert AS', 'cert2 AS').replace('FROM cert', 'FROM cert2')} ,

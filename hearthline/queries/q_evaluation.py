@@ -204,7 +204,7 @@ def evl15(spark, d):
 
 # --- bootstrap ------------------------------------------------------------------------------------
 
-REPLICATES = 200
+REPLICATES = 1000
 
 
 def poisson_sql(cells: str, keys: list[str], seed: int, replicates: int) -> str:
@@ -240,12 +240,12 @@ def bst2(spark, d):
 
 
 @query("bst2_score_intervals", rsql(
-    f"WITH {pred_cte()}, cells AS (SELECT y, yhat, count(*) AS n FROM pred GROUP BY 1, 2), {poisson_sql('cells', ['y', 'yhat'], 42, 50)}, "
+    f"WITH {pred_cte()}, cells AS (SELECT y, yhat, count(*) AS n FROM pred GROUP BY 1, 2), {poisson_sql('cells', ['y', 'yhat'], 42, REPLICATES)}, "
     "s AS (SELECT replicate, sum(wt * (yhat - y) * (yhat - y)) AS res, sum(wt) AS n, sum(wt * y) AS sy, sum(wt * y * y) AS syy FROM weighted GROUP BY 1), "
     "v AS (SELECT 'r2' AS metric, 1 - res / (syy - sy * sy / n) AS v FROM s UNION ALL SELECT 'rmse', sqrt(res / n) FROM s) "
     f"SELECT metric, {_CI} FROM v GROUP BY 1", "mean ci_low ci_high ci_width"))
 def bst2_scores(spark, d):
-    return rounded(B.score_intervals(predictions(spark, d, "y", "yhat"), replicates=50))
+    return rounded(B.score_intervals(predictions(spark, d, "y", "yhat"), replicates=REPLICATES))
 
 
 @query("bst3_next_best", rsql(
