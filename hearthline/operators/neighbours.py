@@ -1,22 +1,21 @@
 """Exact cosine nearest neighbours.
 
-A small query side (its size is counted first) goes to every task, which keeps
-a running top k while it streams over its share of the corpus. A larger one is
-cut into blocks and paired with corpus blocks, so each task multiplies two
-bounded matrices. Either way a task emits k rows per query, never all pairs.
+Both sides are cut by a hash of their key into blocks of bounded bytes, and each task multiplies one query block with one corpus
+block in small pieces, so a task's memory does not depend on either side. A task emits k rows per query, never all pairs; the best
+k of all tasks follow by a window per query, over k rows per corpus block. Shuffled are the queries once per corpus block and the
+corpus once per query block. Rows without a vector or key are left out.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import DoubleType, StructType
 
-BLOCK_ROWS = 4096
+BLOCK_BYTES = 32 << 20
 SIM_DIGITS = 9
-_OUT = "query bigint, neighbour bigint, similarity double"
+_QUERIES, _ROWS = 1024, 1024  # of one multiplication
 
 
 def _unit_rows(vectors: pd.Series) -> np.ndarray:
@@ -26,76 +25,55 @@ def _unit_rows(vectors: pd.Series) -> np.ndarray:
     return m / norms[:, None]
 
 
-class _Best:
-    """Running top k per query, ties broken by the smaller id."""
-
-    def __init__(self, ids: np.ndarray, unit: np.ndarray, k: int):
-        self.ids, self.unit, self.k = ids, unit, k
-        self.sims = np.empty((len(ids), 0))
-        self.found = np.empty((len(ids), 0), dtype="int64")
-
-    def add(self, ids: np.ndarray, unit: np.ndarray) -> None:
-        sims = np.round(self.unit @ unit.T, SIM_DIGITS)
-        sims = np.concatenate([self.sims, sims], axis=1)
-        found = np.concatenate([self.found, np.broadcast_to(ids, (len(self.ids), len(ids)))], axis=1)
-        pick = np.lexsort((found, -sims), axis=1)[:, : self.k]
-        self.sims, self.found = np.take_along_axis(sims, pick, 1), np.take_along_axis(found, pick, 1)
+def _best(unit: np.ndarray, corpus: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Similarities and places of the k best corpus rows per query; ties go to the earlier place."""
+    best, found = np.empty((len(unit), 0)), np.empty((len(unit), 0), dtype="int64")
+    for at in range(0, len(corpus), _ROWS):
+        part = corpus[at : at + _ROWS]
+        sims = np.concatenate([best, np.round(unit @ part.T, SIM_DIGITS)], axis=1)
+        places = np.concatenate([found, np.broadcast_to(np.arange(at, at + len(part)), (len(unit), len(part)))], axis=1)
+        pick = np.lexsort((places, -sims), axis=1)[:, :k]
+        best, found = np.take_along_axis(sims, pick, 1), np.take_along_axis(places, pick, 1)
+    return best, found
 
-    def rows(self) -> pd.DataFrame:
-        width = self.found.shape[1]
-        return pd.DataFrame(
-            {"query": np.repeat(self.ids, width), "neighbour": self.found.ravel(), "similarity": self.sims.ravel()}
-        )
 
+def nearest_neighbours(
+    queries: DataFrame, corpus: DataFrame, id_col: str, vec_col: str, k: int = 15, *, block_bytes: int = BLOCK_BYTES, block_rows: int | None = None
+) -> DataFrame:
+    """(query, neighbour, similarity, rank) of the k most similar corpus rows per query, ties by the smaller key; keys of any type.
 
-def _streamed(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
-    local = queries.toPandas()  # at most BLOCK_ROWS rows, checked by the caller
-    ids, unit = local["id"].to_numpy("int64"), _unit_rows(local["vec"]) if len(local) else np.empty((0, 0))
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if not len(ids):
-            return
-        best = _Best(ids, unit, k)
-        for batch in batches:
-            for at in range(0, len(batch), 1024):
-                part = batch.iloc[at : at + 1024]
-                best.add(part["id"].to_numpy("int64"), _unit_rows(part["vec"]))
-        yield best.rows()
+    A block has at most about ``block_bytes`` of vectors, or ``block_rows`` rows where given. Counts both sides in jobs of its own.
+    """
+    session = queries.sparkSession
+    q, c = (
+        df.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("vec")).where("id IS NOT NULL AND vec IS NOT NULL")
+        for df in (queries, corpus)
+    )
 
-    return corpus.mapInPandas(scan, _OUT)
+    def block_count(df: DataFrame, least: int) -> int:
+        seen = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("vec")), F.lit(1)).alias("width")).first()
+        rows = block_rows or max(block_bytes // (8 * max(seen["width"], 1)), 1)
+        return max(-(-seen["n"] // rows), min(least, seen["n"]), 1)
 
+    q_blocks, c_blocks = block_count(q, 1), block_count(c, session.sparkContext.defaultParallelism)
 
-def _blocked(queries: DataFrame, corpus: DataFrame, k: int, q_blocks: int, c_blocks: int) -> DataFrame:
-    def block(df: DataFrame, mine: str, n: int, other: str, m: int) -> DataFrame:
+    def blocked(df: DataFrame, mine: str, n: int, other: str, m: int) -> DataFrame:
         own = df.withColumn(mine, F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
         return own.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
 
-    q = block(queries, "qb", q_blocks, "cb", c_blocks)
-    c = block(corpus, "cb", c_blocks, "qb", q_blocks)
-
     def multiply(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"query": [], "neighbour": [], "similarity": []})
-        best = _Best(left["id"].to_numpy("int64"), _unit_rows(left["vec"]), k)
-        for at in range(0, len(right), 1024):
-            part = right.iloc[at : at + 1024]
-            best.add(part["id"].to_numpy("int64"), _unit_rows(part["vec"]))
-        return best.rows()
-
-    return q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb")).applyInPandas(multiply, _OUT)
-
-
-def nearest_neighbours(
-    queries: DataFrame, corpus: DataFrame, id_col: str, vec_col: str, k: int = 15, *, block_rows: int = BLOCK_ROWS
-) -> DataFrame:
-    """(query, neighbour, similarity, rank) of the k most similar corpus rows per query."""
-    q = queries.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
-    c = corpus.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
-    n_queries = q.limit(block_rows + 1).count()
-    if n_queries <= block_rows:
-        partial = _streamed(q, c, k)
-    else:
-        q_blocks, c_blocks = -(-q.count() // block_rows), -(-c.count() // block_rows)
-        partial = _blocked(q, c, k, int(q_blocks), int(max(c_blocks, 1)))
+        out = [pd.DataFrame({"query": left["id"][:0], "neighbour": right["id"][:0], "similarity": np.empty(0)})]
+        if len(left) and len(right):
+            right = right.sort_values("id")
+            keys, rows = right["id"].to_numpy(), _unit_rows(right["vec"])
+            for at in range(0, len(left), _QUERIES):
+                part = left.iloc[at : at + _QUERIES]
+                sims, places = _best(_unit_rows(part["vec"]), rows, k)
+                out.append(pd.DataFrame({"query": np.repeat(part["id"].to_numpy(), sims.shape[1]), "neighbour": keys[places.ravel()], "similarity": sims.ravel()}))
+        return pd.concat(out[1:] or out, ignore_index=True)
+
+    schema = StructType().add("query", q.schema["id"].dataType).add("neighbour", c.schema["id"].dataType).add("similarity", DoubleType())
+    left, right = blocked(q, "qb", q_blocks, "cb", c_blocks), blocked(c, "cb", c_blocks, "qb", q_blocks)
+    partial = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInPandas(multiply, schema)
     order = Window.partitionBy("query").orderBy(F.desc("similarity"), F.asc("neighbour"))
     return partial.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from hearthline.session import staged
+
 
 def basket_patterns(baskets: DataFrame, items: str, min_support: float) -> tuple[DataFrame, DataFrame]:
     """Frequent single items, and the distinct baskets reduced to them with their counts.
@@ -31,9 +33,10 @@ def frequent_itemsets(baskets: DataFrame, items: str = "items", min_support: flo
     """Itemsets of up to three items: (itemset, size, n, support).
 
     Identical baskets are merged before anything is enumerated; triples only
-    grow from frequent pairs.
+    grow from frequent pairs. Baskets and patterns are written once, since several branches read them.
     """
-    singles, patterns = basket_patterns(baskets, items, min_support)
+    singles, patterns = basket_patterns(staged(baskets.select(items), "baskets"), items, min_support)
+    patterns = staged(patterns, "patterns")
     enough = F.col("n") >= F.col("baskets") * F.lit(min_support)
     first = patterns.where(F.size("pattern") >= 2).select("*", F.posexplode("pattern").alias("i", "a"))
     pairs_in = first.select(
@@ -59,7 +62,8 @@ def frequent_itemsets(baskets: DataFrame, items: str = "items", min_support: flo
 
 
 def association_rules(itemsets: DataFrame, min_lift: float = 1.05) -> DataFrame:
-    """Every split of a frequent itemset into antecedent and consequent, with confidence and lift."""
+    """Every split of a frequent itemset into antecedent and consequent, with confidence and lift; the itemsets are written once."""
+    itemsets = staged(itemsets, "itemsets")
     one = F.transform(
         "itemset",
         lambda x: F.struct(

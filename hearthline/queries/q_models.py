@@ -243,7 +243,7 @@ def _prob_rows(spark, d):
 
 @query("mdl12_threshold_tuning")
 def mdl12(spark, d):
-    best, qwk = tuning.tune_thresholds(_prob_rows(spark, d), "probs", "t", sweeps=1)
+    best, qwk = tuning.tune_thresholds(_prob_rows(spark, d), "probs", "t")
     rows = _prob_rows(spark, d)
     scored = rows.withColumn("p", S.threshold_class(S.cumulative(F.col("probs")), F.array(*[F.lit(b) for b in best])))
     return rounded(classification_metrics(confusion_cells(scored)).withColumn("tuned_qwk", F.lit(qwk)))

@@ -82,6 +82,16 @@ def jn5(spark, d):
     return rounded(_neighbours(spark, d))
 
 
+_KNN_TEXT = _KNN.replace("SELECT vec_id, CAST", "SELECT concat('v', vec_id) AS vec_id, CAST")
+
+
+@query("jn5_text_keys", rsql(f"WITH {_KNN_TEXT} SELECT query, neighbour, CAST(rn AS INT) AS rank, s AS similarity FROM nn", "similarity"))
+def jn5_text(spark, d):
+    """Text keys, and more queries than a block holds."""
+    e = table(spark, d, "embeddings").select(F.concat(F.lit("v"), "vec_id").alias("key"), "embedding", (uniform(7, F.col("vec_id")) < 0.2).alias("held"))
+    return rounded(nearest_neighbours(e.where("held"), e.where("NOT held"), "key", "embedding", 15, block_bytes=256 << 10))
+
+
 # Every vector stands for the certificate of the same number; its basket is that certificate's measures.
 _REC_BASE = f"{rec_cte()}, bk AS (SELECT DISTINCT LMK_KEY AS k, {NAME_SQL} AS item FROM rec WHERE IMPROVEMENT_SUMMARY_TEXT IS NOT NULL), {_KNN}"
 _VOTES = f"{_REC_BASE}, vo AS (SELECT query, item, count(*) AS votes FROM nn JOIN bk ON bk.k = nn.neighbour GROUP BY 1, 2), top5 AS (SELECT query, item, votes, row_number() OVER (PARTITION BY query ORDER BY votes DESC, item) AS rank FROM vo QUALIFY rank <= 5)"

@@ -8,8 +8,11 @@ from hearthline import config as C
 
 
 def write_published(df: DataFrame, path: str, fmt: str = "parquet", date: str = C.DATE) -> None:
-    """The published table, partitioned by inspection year so that time filters prune files."""
-    out = df.withColumn("_year", F.year(date))
+    """The published table, partitioned by inspection year so that time filters prune files.
+
+    Rows are rebalanced by year first: a small year is one file, a large one is split by size among tasks.
+    """
+    out = df.withColumn("_year", F.year(date)).hint("rebalance", F.col("_year"))
     writer = out.write.mode("errorifexists").partitionBy("_year")
     if fmt == "csv":
         writer = writer.option("header", True)
