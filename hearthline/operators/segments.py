@@ -87,6 +87,20 @@ def fit_prototypes(
     gamma: float = 0.5,
     max_rounds: int = 20,
     tolerance: float = 1e-6,
+    starts: int = 3,
+) -> Prototypes:
+    """The cheapest of several starts; the first wins a tie. The frame is written once, since every round of every start reads it."""
+    frame = staged(df.select(id_col, *numeric, *categorical), "prototypes")
+    return _cheapest(frame, numeric, categorical, k, id_col, seed, gamma, max_rounds, tolerance, starts)
+
+
+def _cheapest(df: DataFrame, numeric, categorical, k, id_col, seed=42, gamma=0.5, max_rounds=20, tolerance=1e-6, starts=3) -> Prototypes:
+    seeds = [seed, *(f"{seed}|{i}" for i in range(1, starts))]
+    return min((_lloyd(df, numeric, categorical, k, id_col, s, gamma, max_rounds, tolerance) for s in seeds), key=lambda m: m.cost)
+
+
+def _lloyd(
+    df: DataFrame, numeric: list[str], categorical: list[str], k: int, id_col: str, seed: int | str, gamma: float, max_rounds: int, tolerance: float
 ) -> Prototypes:
     """Lloyd rounds over a mixed frame with standardised numbers.
 
@@ -326,7 +340,7 @@ def sweep(
     df = staged(df.select(id_col, *numeric, *categorical), "sweep")
     rows = []
     for k in ks:
-        model = fit_prototypes(df, numeric, categorical, k, id_col, **fit)
+        model = _cheapest(df, numeric, categorical, k, id_col, **fit)
         labelled = model.assign(df)
         clusters = list(range(k))
         distances = group_distances(labelled, id_col, "cluster", numeric, categorical, clusters)

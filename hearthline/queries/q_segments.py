@@ -53,10 +53,23 @@ def clu2_step(spark, d):
     return rounded(_CENTRES.assign(G.standardise(_frame(spark, d), NUM), cost="cost").select("p_partkey", "cluster", "cost"))
 
 
+def _fitted(spark, d):
+    df = G.standardise(_frame(spark, d), NUM)
+    return df, G.fit_prototypes(df, NUM, CAT, 3, "p_partkey")
+
+
 @query("clu2_fit_prototypes")
 def clu2(spark, d):
-    df = G.standardise(_frame(spark, d), NUM)
-    return G.fit_prototypes(df, NUM, CAT, 3, "p_partkey", max_rounds=5).assign(df).select("p_partkey", "cluster")
+    df, model = _fitted(spark, d)
+    return model.assign(df).select("p_partkey", "cluster")
+
+
+@query("clu2_cost_path", "SELECT count(*) AS n, 0 AS rises, 3::BIGINT AS clusters FROM part")
+def clu2_path(spark, d):
+    """Every row has a cluster, and no round of the kept start raises the cost."""
+    df, model = _fitted(spark, d)
+    rises = sum(b > a * (1 + 1e-9) for a, b in zip(model.cost_path, model.cost_path[1:]))
+    return model.assign(df).agg(F.count("cluster").alias("n"), F.lit(rises).alias("rises"), F.countDistinct("cluster").alias("clusters"))
 
 
 _PAIRS = f"""WITH {LABELLED_SQL}, r AS (SELECT max(p_size) - min(p_size) AS rs, max(p_retailprice) - min(p_retailprice) AS rp FROM l),
@@ -97,7 +110,7 @@ def clu5(spark, d):
 @query("clu6_k_sweep")
 def clu6(spark, d):
     df = G.standardise(_frame(spark, d), NUM)
-    return G.sweep(df, NUM, CAT, "p_partkey", range(2, 4), max_rounds=3)
+    return G.sweep(df, NUM, CAT, "p_partkey", range(2, 4), max_rounds=3, starts=1)
 
 
 @query("clu7_segment_profile", rsql(

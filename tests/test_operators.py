@@ -225,6 +225,30 @@ def test_neighbours_both_ways(spark, block_rows):
     assert got.count() == 80
 
 
+def test_neighbours_of_text_keys(spark):
+    rows = [(f"k{i:02d}", [1.0, float(i % 4)]) for i in range(40)] + [("none", None), (None, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "id string, v array<double>")
+    got = neighbours.nearest_neighbours(df.where("id < 'k10'"), df.where("id >= 'k10' OR id IS NULL"), "id", "v", 2, block_rows=3)
+    found = {(r["query"], r["rank"]): r["neighbour"] for r in got.collect()}
+    assert len(found) == 20 and found["k00", 1] == "k12" and found["k00", 2] == "k16" and found["k03", 1] == "k11"
+
+
+def test_preparation_of_rare_unknown_and_null(spark, tmp_path):
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.functions import vector_to_array
+    from hearthline.models import prep
+
+    train = [(float(i % 5), "a'b" if i % 2 else "c", f"t{i % 30:02d}", None) for i in range(60)] + [(None, "rare", "t00", None)]
+    schema = "n double, low string, high string, nothing double"
+    fitted = prep.preparation(["n", "low", "high", "nothing"]).fit(spark.createDataFrame(train, schema))
+    fitted.write().save(str(tmp_path / "prep"))
+    rows = spark.createDataFrame([(None, "a'b", "t01", None), (4.0, "rare", "t29", 1.0), (2.0, "unseen", "unseen", None)], schema)
+    for model in (fitted, PipelineModel.load(str(tmp_path / "prep"))):
+        got = [r["x"] for r in model.transform(rows).select(vector_to_array("features").alias("x")).collect()]
+        # n, nothing, low = a'b, low = c, rare levels, code of high
+        assert got == [[0.0, 0.0, 1.0, 0.0, 0.0, 1.0], [1.0, 1.0, 0.0, 0.0, 1.0, 29.0], [0.0, 0.0, 0.0, 0.0, 0.0, -1.0]]
+
+
 def test_rules_golden(spark):
     baskets = spark.createDataFrame([(1, ["a", "b", "c"]), (2, ["a", "b"]), (3, ["a", "c"]), (4, ["b", "c"]), (5, ["a", "b", "c"])], "k int, items array<string>")
     sets = rules.frequent_itemsets(baskets, min_support=0.1)
