@@ -5,12 +5,15 @@ count in the text times 1 + ln(1 / max(df, ``floor``)), df being the share of do
 hashed buckets (a bucket adds at most the mean number of shingles per document over ``2**DF_BITS`` to df, whatever the corpus size).
 
 Equal texts are one node. Each text gives ``bands * rows`` weighted samples; two texts agree in one with a probability of their
-weighted Jaccard similarity. Texts that agree in all rows of a band are candidates: in a bucket of at most ``small`` nodes every pair;
-in a larger one each node with the most popular member, and the bucket is split again by three other bands, whose parts are treated
-alike. Candidates are verified with the exact weighted Jaccard of their whole texts, and links of at least ``similarity`` are joined
-to classes by repeated minimum labels with shortcuts; every round is written to the shared folder.
+weighted Jaccard similarity. Texts that agree in all rows of a band are candidates, and every candidate pair is verified once, in the
+first band in which it agrees, with the exact weighted Jaccard of its whole texts. The pairs of a bucket of at most ``small`` nodes are
+rows. A larger bucket is dealt into parts of about ``part_texts`` nodes or ``part_bytes`` of text at most; a task holds two parts, compares
+all their pairs by products of matrices, and returns the number of links of each node and the classes within the two parts, never pairs.
+Its work is that of all pairs, and a text travels once per part of its bucket. Links of at least ``similarity`` are joined to classes by
+repeated minimum labels with shortcuts; every round is written to the shared folder.
 
 At a similarity of 0.8 a pair shares some band with probability 1 - (1 - 0.8**3)**10 = 0.999, and a class needs only some chain of links.
+``n_links`` counts the links among those pairs.
 
 Null texts are empty. Texts without words are alike only if equal. Rows that repeat a doc_id are rows like any other: exactly one row of
 each class has ``kept``, the one with the smallest doc_id (nulls last), then the first in the scan.
@@ -104,7 +107,7 @@ def weighted_samples(owner: np.ndarray, value: np.ndarray, weight: np.ndarray, n
 
 
 def signatures(rows: DataFrame, weight: np.ndarray, bands: int, per_band: int) -> DataFrame:
-    """rid, doc_id, copy_of (digest of the text) and one hash per band; no bands for a text without words."""
+    """rid, doc_id, copy_of (digest of the text), its bytes, and one hash per band; no bands for a text without words."""
 
     def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for block in blocks(batch["text"], LETTER):
@@ -117,48 +120,152 @@ def signatures(rows: DataFrame, weight: np.ndarray, bands: int, per_band: int) -
             flat = keys.T.reshape(-1).view(np.int64)
             lists = pa.FixedSizeListArray.from_arrays(pa.array(flat), bands).cast(pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [batch["rid"][block.rows], batch["doc_id"][block.rows], batch["copy_of"][block.rows], pa.compute.if_else(pa.array(has), lists, pa.scalar(None, lists.type))],
-                names=["rid", "doc_id", "copy_of", "bands"],
+                [*(batch[c][block.rows] for c in ("rid", "doc_id", "copy_of")), pa.array(np.diff(block.off)), pa.compute.if_else(pa.array(has), lists, pa.scalar(None, lists.type))],
+                names=["rid", "doc_id", "copy_of", "n_bytes", "bands"],
             )
 
     own = rows.select("rid", "doc_id", "text", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("copy_of"))
-    return map_arrow(own, step, "rid long, doc_id long, copy_of binary, bands array<long>")
+    return map_arrow(own, step, "rid long, doc_id long, copy_of binary, n_bytes long, bands array<long>")
 
 
-def pairs_of(members: DataFrame, key: list[str], small: int) -> tuple[DataFrame, DataFrame]:
-    """Candidate pairs (a < b) of members (key, node, popular): all in small buckets, stars in larger ones; the members of the latter."""
-    sizes = members.groupBy(*key).agg(F.count("*").alias("n"), F.max(F.struct("popular", "node")).alias("centre")).where("n > 1")
-    sized = staged(members.join(sizes, key), "members")
-    within = (
+def candidates(nodes: DataFrame, small: int, part_texts: int, part_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs of nodes (rid, n_bytes, bands) to verify: those of small buckets (a < b), and the parts (band, key, i, j) of larger ones.
+
+    A pair of nodes is in small buckets at most once, in the first band in which it agrees.
+    """
+    rows = nodes.where("bands IS NOT NULL").select(F.col("rid").alias("node"), "n_bytes", "bands", F.posexplode("bands").alias("band", "key"))
+    sizes = rows.groupBy("band", "key").agg(F.count("*").alias("n"), F.sum("n_bytes").alias("total")).where("n > 1")
+    sized = staged(rows.drop("n_bytes").join(sizes, ["band", "key"]), "buckets")
+    pairs = (
         sized.where(F.col("n") <= small)
-        .groupBy(*key)
-        .agg(F.array_sort(F.collect_list("node")).alias("nodes"))
-        .select(F.posexplode("nodes").alias("i", "a"), "nodes")
-        .select("a", F.explode(F.slice("nodes", F.col("i") + 2, small)).alias("b"))
-    )
-    large = sized.where(F.col("n") > small)
-    stars = large.select(F.least("node", "centre.node").alias("a"), F.greatest("node", "centre.node").alias("b")).where("a < b")
-    return within.union(stars), large
-
-
-def candidates(nodes: DataFrame, bands: int, small: int) -> DataFrame:
-    """Distinct pairs of nodes (rid, bands) to verify."""
-    rows = nodes.where("bands IS NOT NULL").select(F.col("rid").alias("node"), F.posexplode("bands").alias("band", "key"))
-    crowd = rows.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
-    members = rows.join(crowd, ["band", "key"])
-    popular = members.groupBy("node").agg(F.sum("n").alias("popular"))
-    members = staged(members.drop("n").join(popular, "node"), "buckets")
-    pairs, large = pairs_of(members, ["band", "key"], small)
-    other = nodes.select(F.col("rid").alias("node"), "bands")
-    split = large.join(other, "node").select(
-        "band",
-        "key",
-        "node",
-        "popular",
-        F.explode(F.array(*(F.struct(F.pmod(F.col("band") + s, F.lit(bands)).alias("band2"), F.get("bands", F.pmod(F.col("band") + s, F.lit(bands))).alias("key2")) for s in (1, 2, 3)))).alias("o"),
+        .groupBy("band", "key")
+        .agg(F.array_sort(F.collect_list(F.struct("node", "bands"))).alias("nodes"))
+        .select("band", F.posexplode("nodes").alias("i", "a"), "nodes")
+        .select("band", "a", F.explode(F.slice("nodes", F.col("i") + 2, small)).alias("b"))
+        .where("NOT exists(zip_with(slice(a.bands, 1, band), slice(b.bands, 1, band), (x, y) -> x = y), same -> same)")
+        .select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
     )
-    finer, _ = pairs_of(split.select("band", "key", "node", "popular", "o.band2", "o.key2"), ["band", "key", "band2", "key2"], small)
-    return pairs.union(finer).distinct()
+    parts = F.ceil(F.greatest(F.col("n") / part_texts, F.col("total") / part_bytes)).cast("int")
+    dealt = sized.where(F.col("n") > small).withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return pairs, met.select("node", "bands", "band", "key", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+
+
+def shared_weight(left: list[np.ndarray], right: list[np.ndarray], weight: np.ndarray) -> np.ndarray:
+    """The sum of smaller amounts of each left and each right text, both given as (owner, value, count) of their shingles."""
+
+    def levels(side: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A shingle that occurs c times stands for c features: its first to its c-th occurrence."""
+        owner, value, times = side
+        nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        return np.repeat(owner, times), np.repeat(value, times), nth
+
+    n, m = (int(side[0].max()) + 1 if len(side[0]) else 0 for side in (left, right))
+    out = np.zeros(n * m)
+    if not out.size:
+        return out.reshape(n, m)
+    (lo, lv, ln), (ro, rv, rn) = levels(left), levels(right)
+    value, nth = np.concatenate([lv, rv]), np.concatenate([ln, rn])
+    order = np.lexsort((nth, value))
+    new = np.r_[True, (value[order][1:] != value[order][:-1]) | (nth[order][1:] != nth[order][:-1])]
+    feature = np.empty(len(order), dtype=np.int64)
+    feature[order] = np.cumsum(new) - 1
+    unit = weight[bucket_of(value[order][new])]
+    lf, rf = feature[: len(lo)], feature[len(lo) :]
+    nl, nr = np.bincount(lf, minlength=len(unit)), np.bincount(rf, minlength=len(unit))
+    rare = (nl * nr > 0) & (nl * nr * 100 < n * m)
+    # few texts on both sides: name the pairs, two million at a time
+    at = np.flatnonzero(rare[lf])
+    by = np.argsort(rf, kind="stable")
+    begin = np.cumsum(nr) - nr
+    upto = np.cumsum(nr[lf[at]])
+    while len(at):
+        to = max(1, int(np.searchsorted(upto, 2_000_000)))
+        own, upto = at[:to], upto[to:] - upto[to - 1]
+        at = at[to:]
+        times = nr[lf[own]]
+        nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        mate = ro[by[np.repeat(begin[lf[own]], times) + nth]]
+        out += np.bincount(np.repeat(lo[own], times) * m + mate, np.repeat(unit[lf[own]], times), minlength=n * m)
+    out = out.reshape(n, m)
+    common = np.flatnonzero((nl * nr > 0) & ~rare)
+    place = np.full(len(unit), -1)
+    place[common] = np.arange(len(common))
+    lp, rp = place[lf], place[rf]
+    width = 1024
+    lorder, rorder = np.argsort(lp, kind="stable"), np.argsort(rp, kind="stable")
+    for start in range(0, len(common), width):
+        both = []
+        for owner, p, by_place, rows in ((lo, lp, lorder, n), (ro, rp, rorder, m)):
+            own = by_place[slice(*np.searchsorted(p, [start, start + width], sorter=by_place))]
+            dense = np.zeros((rows, min(width, len(common) - start)))
+            dense[owner[own], p[own] - start] = 1
+            both.append(dense)
+        out += (both[0] * unit[common[start : start + width]]) @ both[1].T
+    return out
+
+
+def compare_parts(met: DataFrame, weight: np.ndarray, similarity: float) -> DataFrame:
+    """Of parts (node, bands, band, key, part, i, j, text): n links of a node without other, and other (with n 0) of the node's class."""
+
+    def side(texts: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
+        got, before = [], 0
+        for block in blocks(texts, LETTER):
+            owner, value, times = shingles(block)
+            got.append((owner + before, value, times))
+            before += block.n
+        owner, value, times = (np.concatenate(c) for c in zip(*got, strict=True))
+        return [owner, value, times], np.bincount(owner, times * weight[bucket_of(value)], minlength=before)
+
+    def step(group: pa.Table) -> pa.Table:
+        def chosen(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            bands = group["bands"].take(pa.array(rows)).combine_chunks().flatten().to_numpy(zero_copy_only=False)
+            return group["node"].to_numpy()[rows], bands.reshape(len(rows), -1)
+
+        empty = pa.table({c: pa.array([], pa.int64()) for c in ("node", "other", "n")})
+        band, i, j = (group[c][0].as_py() for c in ("band", "i", "j"))
+        part = group["part"].to_numpy()
+        left, right = np.flatnonzero(part == i), np.flatnonzero(part == j)
+        if not len(left) or not len(right):
+            return empty
+        (a, p), (b, q) = chosen(left), chosen(right)
+        todo = a[:, None] < b if i == j else np.ones((len(a), len(b)), dtype=bool)
+        for k in range(band):
+            todo &= p[:, k][:, None] != q[:, k]
+        rows, cols = np.flatnonzero(todo.any(axis=1)), np.flatnonzero(todo.any(axis=0))
+        if not len(rows):
+            return empty
+        a, b, todo = a[rows], b[cols], todo[np.ix_(rows, cols)]
+        (x, total_x), (y, total_y) = (side(group["text"].take(pa.array(at)).combine_chunks()) for at in (left[rows], right[cols]))
+        shared = shared_weight(x, y, weight)
+        links = todo & (shared >= (similarity - 1e-9) * np.maximum(total_x[:, None] + total_y - shared, 1e-12))
+        of_a, of_b = links.sum(axis=1), links.sum(axis=0)
+        nodes, n = np.concatenate([a[of_a > 0], b[of_b > 0]]), np.concatenate([of_a[of_a > 0], of_b[of_b > 0]])
+        member, root = [], []
+        left_over = of_a > 0
+        while left_over.any():
+            first = int(np.argmax(left_over))
+            seen_a, seen_b = np.zeros(len(a), dtype=bool), np.zeros(len(b), dtype=bool)
+            fresh = np.array([first])
+            while len(fresh):
+                seen_a[fresh] = True
+                seen_b |= links[fresh].any(axis=0)
+                fresh = np.flatnonzero(links[:, seen_b].any(axis=1) & ~seen_a)
+            left_over &= ~seen_a
+            found = np.setdiff1d(np.concatenate([a[seen_a], b[seen_b]]), a[first])
+            member.append(found)
+            root.append(np.full(len(found), a[first]))
+        edges = np.concatenate([np.zeros(0, np.int64), *member]), np.concatenate([np.zeros(0, np.int64), *root])
+        none = pa.nulls(len(nodes), pa.int64())
+        return pa.table(
+            {
+                "node": pa.chunked_array([pa.array(nodes), pa.array(edges[0])], pa.int64()),
+                "other": pa.chunked_array([none, pa.array(edges[1])], pa.int64()),
+                "n": pa.chunked_array([pa.array(n.astype(np.int64)), pa.array(np.zeros(len(edges[0]), np.int64))], pa.int64()),
+            }
+        )
+
+    return met.groupBy("band", "key", "i", "j").applyInArrow(step, "node long, other long, n long")
 
 
 def similar(pairs: DataFrame, weight: np.ndarray, similarity: float) -> DataFrame:
@@ -201,7 +308,14 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, similarity: float = 0.8, bands: int = 10, per_band: int = 3, small: int = 16, floor: float = 0.1
+    docs: DataFrame,
+    similarity: float = 0.8,
+    bands: int = 10,
+    per_band: int = 3,
+    small: int = 16,
+    floor: float = 0.1,
+    part_texts: int = 1024,
+    part_bytes: int = 1 << 21,
 ) -> DataFrame:
     """One row per input row: rid, doc_id, class_id (smallest doc_id of the class), n_links of its text to other texts, kept.
 
@@ -211,13 +325,18 @@ def near_duplicates(
     weight = inverse_shares(rows, floor)
     signed = staged(signatures(rows, weight, bands, per_band), "signatures")
     copies = staged(signed.groupBy("copy_of").agg(F.min("rid").alias("node")), "copies")
-    nodes = signed.join(copies.select(F.col("node").alias("rid")), "rid", "left_semi").select("rid", "bands")
-    pairs = staged(candidates(nodes, bands, small), "pairs")
+    nodes = signed.join(copies.select(F.col("node").alias("rid")), "rid", "left_semi").select("rid", "n_bytes", "bands")
+    pairs, met = candidates(nodes, small, part_texts, part_bytes)
+    pairs = staged(pairs, "pairs")
     wanted = pairs.select(F.col("a").alias("rid")).union(pairs.select("b")).distinct()
     texts = thinned(rows.select("rid", "text"), wanted, "rid")
     left, right = texts.select(F.col("rid").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("rid").alias("b"), F.col("text").alias("text_b"))
     links = staged(similar(pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b"), weight, similarity), "links")
-    degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count("*").alias("n_links"))
+    crowd = thinned(rows.select("rid", "text"), met.select(F.col("node").alias("rid")).distinct(), "rid").withColumnRenamed("rid", "node")
+    many = staged(compare_parts(met.join(crowd, "node"), weight, similarity), "many")
+    counted = links.select(F.col("a").alias("node"), F.lit(1).alias("n")).union(links.select("b", F.lit(1))).union(many.where("other IS NULL").select("node", "n"))
+    degree = counted.groupBy("node").agg(F.sum("n").alias("n_links"))
+    links = links.select("a", "b").union(many.where("other IS NOT NULL").select("node", "other"))
     known = copies.join(components(links), "node", "left").join(degree, "node", "left")
     placed = staged(
         signed.select("rid", "doc_id", "copy_of")

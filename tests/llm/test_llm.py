@@ -77,6 +77,37 @@ def test_large_bucket(spark):
     assert {r.class_id for r in got} == {0} and sum(r.kept for r in got) == 1
 
 
+def brute_force(texts, similarity=0.8):
+    """Class (its first text) and number of links of each text, all shingles weighing alike, from all pairs."""
+    held = [Counter(zip(*(t.split()[k:] for k in range(5)), strict=False)) for t in texts]
+    label, links = list(range(len(texts))), [0] * len(texts)
+    for i, x in enumerate(held):
+        for j, y in enumerate(held[:i]):
+            shared = (x & y).total()
+            if shared >= similarity * (x.total() + y.total() - shared):
+                links[i], links[j] = links[i] + 1, links[j] + 1
+                low, high = sorted((label[i], label[j]))
+                label = [low if c == high else c for c in label]
+    return label, links
+
+
+@pytest.mark.parametrize(("small", "settings"), [(16, {}), (4, {"part_texts": 20})])
+def test_template_family(spark, small, settings):
+    """Texts of one template whose pairs lie around the wanted similarity have the classes and links of brute force."""
+    rng = np.random.default_rng(5)
+    texts = []
+    for i in range(120):
+        words = [f"form{k}" for k in range(220)]
+        for at in rng.choice(20, 3 if i < 60 else 5, replace=False):
+            words[5 + at * 10] = f"own{rng.integers(3)}at{at}"
+        texts.append(" ".join([*words, *(words[:40] if i % 3 else [])]))
+    label, links = brute_force(texts)
+    assert len(set(label)) > 2 and max(links) > 16
+    rows = [(i, t, None, None) for i, t in enumerate(texts)]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, SCHEMA), small=small, floor=1.0, bands=40, **settings).collect()
+    assert {r.doc_id: (r.class_id, r.n_links) for r in got} == dict(enumerate(zip(label, links, strict=True)))
+
+
 def test_samples_estimate_similarity():
     value = np.arange(1, 2001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     x, y = near_dedup.weighted_samples(np.repeat([0, 1], 1500), np.r_[value[:1500], value[500:]], np.r_[np.full(1500, 2.0), np.full(1500, 3.0)], 2, 400).T
