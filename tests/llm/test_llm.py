@@ -77,6 +77,14 @@ def test_large_bucket(spark):
     assert {r.class_id for r in got} == {0} and sum(r.kept for r in got) == 1
 
 
+def test_links_of_large_bucket(spark):
+    """In a family that is alike throughout, every text shows a link to every other one, whatever the size of its buckets."""
+    base = [f"t{i}" for i in range(300)]
+    rows = [(i, " ".join([*base[:i], f"edit{i}", *base[i + 1 :]]), None, None) for i in range(60)]
+    got = near_dedup.near_duplicates(spark.createDataFrame([*rows, rows[7]], SCHEMA)).collect()
+    assert [r.n_links for r in got] == [59] * 61
+
+
 def brute_force(texts, similarity=0.8):
     """Class (its first text) and number of links of each text, all shingles weighing alike, from all pairs."""
     held = [Counter(zip(*(t.split()[k:] for k in range(5)), strict=False)) for t in texts]
