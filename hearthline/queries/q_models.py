@@ -161,7 +161,7 @@ def mdl2_documents(spark, d):
 @query("mdl3_random_forest")
 def mdl3(spark, d):
     train, test = _sides(spark, d)
-    return _judged(M.random_forest(100, maxDepth=8).fit(train).transform(test))
+    return _judged(M.random_forest().fit(train).transform(test))
 
 
 @query("mdl4_shallow_tree")
@@ -186,7 +186,7 @@ def mdl5(spark, d):
 @query("mdl6_score_regressor")
 def mdl6(spark, d):
     train, test = _sides(spark, d)
-    scored = M.score_regressor(40).fit(train).transform(test)
+    scored = M.score_regressor().fit(train).transform(test)
     return rounded(regression_metrics(scored, "label_score", "prediction"))
 
 
