@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from hearthline.llm.textblocks import BYTE_MUL, U, Block, byte_table, mix, spans_hash, prefix, window_hash, word_spans
+from hearthline.llm.textblocks import U, Block, byte_table, mix, window_hash, word_spans
 
 LETTER = byte_table(r"[0-9A-Za-z\x80-\xFF]")
 MARKS = byte_table(r"[^0-9A-Za-z\x80-\xFF\x20\x09-\x0D\x00]")
@@ -14,7 +14,7 @@ LOWER[65:91] += 32
 
 def lowered(block: Block) -> np.ndarray:
     """Word hashes with A-Z as a-z."""
-    return spans_hash(prefix(LOWER[block.buf].astype(U) + U(1), BYTE_MUL[0]), block.start, block.end, BYTE_MUL[0])
+    return block.word_hash(0, LOWER)
 
 
 def skip_features(block: Block, bits: int) -> tuple[np.ndarray, np.ndarray]:

@@ -114,7 +114,7 @@ def pack(
     path = vocabulary or vocabulary_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).ids
+        encode = (words := encoder(path)).ids
         base = TaskContext.get().partitionId() << 40
         end = np.array([closing_id], dtype="<u4")
         ids: list[np.ndarray] = []
@@ -130,5 +130,7 @@ def pack(
                     yield out
         if ids:
             yield pack_group(ids, names, base, capacity, max_piece)[0]
+        words.clear()
+        pa.default_memory_pool().release_unused()
 
     return texts_of(docs).mapInArrow(run, PIECES)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from hearthline.llm.chain_crf import by_length, forward_backward, viterbi
 from hearthline.llm.common import map_arrow, texts_of
-from hearthline.llm.textblocks import BYTE_MUL, SPACED, Block, blocks, byte_table, repeats_within, spans_hash, window_hash, word_spans
+from hearthline.llm.textblocks import BYTE_MUL, SPACED, Block, blocks, byte_table, repeats_within, window_hash, word_spans, words_hash
 
 LINE = byte_table(r"[^\n]")
 SYMBOL = byte_table(r"[#*$%&|<>]")
@@ -82,7 +82,7 @@ def lines_of(block: Block, repeated: np.ndarray) -> Lines:
     start, end, first, last = start[worded], end[worded], first[worded], last[worded]
     owner = np.searchsorted(block.off, start, side="right") - 1
     size = end - start
-    _, seen = repeats_within(owner, spans_hash(block.byte_sums(), start, end, BYTE_MUL[0]))
+    _, seen = repeats_within(owner, words_hash(block.buf, start, end, BYTE_MUL[0]))
     words = last - first
 
     def inside(flags: np.ndarray) -> np.ndarray:

@@ -1,7 +1,8 @@
 """Words of many texts at once, as numpy arrays over their UTF-8 bytes.
 
-An Arrow batch is cut into blocks of whole texts of about two megabytes, so memory follows the block (or the one longest
-text), not the batch. Word and window hashes are differences of prefix sums of a polynomial modulo 2**64, mixed at the end.
+An Arrow batch is cut into blocks of whole texts of about half a megabyte, so memory follows the block (or the one longest
+text), not the batch. Word and window hashes are differences of prefix sums of a polynomial modulo 2**64, mixed at the end. A hash
+does not depend on where its span stands, so a long text is hashed in runs of words, and the only tables kept are of ``STEP`` powers.
 """
 
 from __future__ import annotations
@@ -12,7 +13,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 19
+#: powers kept per multiplier, and bytes hashed at a time
+STEP = 1 << 16
 U = np.uint64
 #: odd multipliers of the byte polynomial, and of the word polynomial, for two independent hashes
 BYTE_MUL = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
@@ -40,35 +43,57 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_tables: dict[int, np.ndarray] = {}
 
 
-def powers(mul: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of an odd multiplier and of its inverse, modulo 2**64."""
-    have = _tables.get(mul)
-    if have is None or len(have[0]) < n:
-        size = 1 << (max(n, BLOCK_BYTES + 2) - 1).bit_length()
-        both = []
-        for m in (mul, pow(mul, -1, 1 << 64)):
-            t = np.full(size, m, dtype=U)
-            t[0] = 1
-            both.append(np.multiply.accumulate(t))
-        _tables[mul] = have = (both[0], both[1])
-    return have[0][:n], have[1][:n]
+def powers(mul: int) -> np.ndarray:
+    """The first ``STEP`` powers of a multiplier, modulo 2**64."""
+    if mul not in _tables:
+        t = np.full(STEP, mul, dtype=U)
+        t[0] = 1
+        _tables[mul] = np.multiply.accumulate(t)
+    return _tables[mul]
 
 
 def prefix(values: np.ndarray, mul: int) -> np.ndarray:
     """Prefix sums of values times powers; entry i covers the first i values."""
-    up, _ = powers(mul, len(values))
+    up = powers(mul)
     out = np.zeros(len(values) + 1, dtype=U)
-    np.cumsum(values.astype(U) * up, out=out[1:])
+    for at in range(0, len(values), STEP):
+        part = values[at : at + STEP].astype(U)
+        part *= up[: len(part)]
+        if at:
+            part *= U(pow(mul, at, 1 << 64))
+        np.cumsum(part, out=part)
+        part += out[at]
+        out[at + 1 : at + 1 + len(part)] = part
     return out
 
 
 def spans_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray, mul: int) -> np.ndarray:
     """Hashes of the spans [start, end) of the values under the prefix sums."""
-    _, down = powers(mul, len(sums))
-    return mix((sums[end] - sums[start]) * down[start])
+    inverse = pow(mul, -1, 1 << 64)
+    down = powers(inverse)
+    out = sums[end] - sums[start]
+    out *= down[start % STEP]
+    if len(sums) > STEP:
+        leap = np.array([pow(inverse, i * STEP, 1 << 64) for i in range(len(sums) // STEP + 1)], dtype=U)
+        out *= leap[start // STEP]
+    return mix(out)
+
+
+def words_hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray, mul: int, table: np.ndarray | None = None) -> np.ndarray:
+    """Hashes of words (ordered, disjoint spans of bytes), some ``STEP`` bytes at a time; ``table`` maps bytes first."""
+    out = np.empty(len(start), dtype=U)
+    at = 0
+    while at < len(start):
+        to = max(at + 1, int(np.searchsorted(end, start[at] + STEP, side="right")))
+        low, high = int(start[at]), int(end[to - 1])
+        part = buf[low:high] if table is None else table[buf[low:high]]
+        sums = prefix(part.astype(np.uint16) + np.uint16(1), mul)
+        out[at:to] = spans_hash(sums, start[at:to] - low, end[at:to] - low, mul)
+        at = to
+    return out
 
 
 @dataclass
@@ -93,11 +118,9 @@ class Block:
         """The text each word belongs to."""
         return np.repeat(np.arange(self.n), self.counts())
 
-    def byte_sums(self, which: int = 0) -> np.ndarray:
-        return prefix(self.buf.astype(U) + U(1), BYTE_MUL[which])
-
-    def word_hash(self, which: int = 0) -> np.ndarray:
-        return spans_hash(self.byte_sums(which), self.start, self.end, BYTE_MUL[which])
+    def word_hash(self, which: int = 0, table: np.ndarray | None = None) -> np.ndarray:
+        """Hashes of the words; ``table`` maps bytes first."""
+        return words_hash(self.buf, self.start, self.end, BYTE_MUL[which], table)
 
     def windows(self, k: int) -> np.ndarray:
         """Indices of words that begin k consecutive words of one text."""
