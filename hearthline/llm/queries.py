@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hearthline.llm import decontaminate as contamination, jaccard_join, warc
+from hearthline.llm import collocations, decontaminate as contamination, jaccard_join, warc
 from hearthline.llm.common import read
 from hearthline.llm.importance import fit_ratio, resample
 from hearthline.llm.near_dedup import near_duplicates
@@ -88,6 +88,12 @@ def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(read(spark, sf_dir, "documents"))
 
 
+@registered
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents"))
+
+
+ORACLE["op12_collocations"] = collocations.SQL
 ORACLE["op11_jaccard_join"] = jaccard_join.SQL
 ORACLE["op2_decontamination"] = contamination.SQL
 ORACLE["op8_warc"] = warc.SQL
