@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hearthline.llm import collocations, decontaminate as contamination, jaccard_join, warc
+from hearthline.llm import collocations, decontaminate as contamination, divergence, jaccard_join, warc
 from hearthline.llm.common import read
 from hearthline.llm.importance import fit_ratio, resample
 from hearthline.llm.near_dedup import near_duplicates
@@ -94,6 +94,12 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op12_collocations"] = collocations.SQL
+@registered
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(read(spark, sf_dir, "documents"))
+
+
+ORACLE["op13_source_divergence"] = divergence.SQL
 ORACLE["op11_jaccard_join"] = jaccard_join.SQL
 ORACLE["op2_decontamination"] = contamination.SQL
 ORACLE["op8_warc"] = warc.SQL
