@@ -140,7 +140,7 @@ def divergence(left: Quadtree, right: Quadtree, columns: int) -> tuple[np.ndarra
 
 
 def compare(tiles: DataFrame, rows: int, top: int, leaves: int = 1 << 21) -> DataFrame:
-    """Of tiles (lang, tile, i, j, r, part_of, whole, of_lang, term, n, total): value of pairs (r, other), or of the first terms of r.
+    """Of tiles (lang, tile, i, j, r, part_of, whole, of_lang, term, n, total): value of pairs (r, other) over so many columns, or of the first terms of r.
 
     Rows without a term name the groups of the two blocks and the denominators of their shares and of their language's.
     """
@@ -180,7 +180,7 @@ def compare(tiles: DataFrame, rows: int, top: int, leaves: int = 1 << 21) -> Dat
                 done += more
         first, second = np.nonzero(np.triu(np.ones(pair[0].shape, dtype=bool), 1) if i == j else np.ones(pair[0].shape, dtype=bool))
         for a, b, value in ((base[0][first], base[1][second], pair[0]), (base[1][second], base[0][first], pair[1])):
-            found.append((a, b, np.full(len(a), None, dtype=object), value[first, second]))
+            found.append((a, b, np.full(len(a), None, dtype=object), value[first, second], np.full(len(a), len(terms))))
         if i == j and len(terms):
             p, q = shares(cell_n, wholes[0][np.searchsorted(base[0], cell_row)]), shares(cell_total, of_lang[is_group][0])
             value = apart(p, q)
@@ -190,7 +190,7 @@ def compare(tiles: DataFrame, rows: int, top: int, leaves: int = 1 << 21) -> Dat
             keep = keep[np.lexsort((nth_term[col][keep], -value[keep], cell_row[keep]))]
             keep = keep[np.arange(len(keep)) - np.searchsorted(cell_row[keep], cell_row[keep], side="left") < top]
             names = np.array(terms.take(pa.array(col[keep])).to_pylist(), dtype=object)
-            found.append((cell_row[keep], np.full(len(keep), -1), names, value[keep]))
+            found.append((cell_row[keep], np.full(len(keep), -1), names, value[keep], np.zeros(len(keep), dtype=np.int64)))
         columns = [np.concatenate(c) for c in zip(*found, strict=True)]
         return pa.table(
             {
@@ -199,10 +199,11 @@ def compare(tiles: DataFrame, rows: int, top: int, leaves: int = 1 << 21) -> Dat
                 "other": pa.array(columns[1], pa.int64()),
                 "term": pa.array(columns[2].tolist(), pa.string()),
                 "value": pa.array(columns[3], pa.int64()),
+                "columns": pa.array(columns[4], pa.int64()),
             }
         )
 
-    return tiles.groupBy("lang", "tile", "i", "j").applyInArrow(step, "lang string, r long, other long, term string, value long")
+    return tiles.groupBy("lang", "tile", "i", "j").applyInArrow(step, "lang string, r long, other long, term string, value long, columns long")
 
 
 def source_divergence(docs: DataFrame, min_docs: int = 3, top: int = 200, tile_cells: int = 1 << 17, rows: int = 256) -> DataFrame:
@@ -223,6 +224,7 @@ def source_divergence(docs: DataFrame, min_docs: int = 3, top: int = 200, tile_c
         "source",
         "m",
         (F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1).cast("long").alias("r"),
+        "v",
         (F.col("n") + F.col("v")).alias("whole"),
         (F.col("all_n") + F.col("v")).alias("of_lang"),
         F.greatest(F.ceil(F.col("all_m") / tile_cells), F.lit(1)).alias("tiles"),
@@ -240,10 +242,12 @@ def source_divergence(docs: DataFrame, min_docs: int = 3, top: int = 200, tile_c
     block = (F.least(part, other).alias("i"), F.greatest(part, other).alias("j"))
     met = met.select("lang", "tile", *block, "r", "term", "n", "total", "whole", "of_lang")
     found = staged(compare(met, rows, top), "compared")
-    name = groups.select("lang", "r", "source")
-    pairs = found.where("term IS NULL").groupBy("lang", "r", "other").agg(F.sum("value").alias("value"))
-    pairs = pairs.join(name, ["lang", "r"]).join(name.select("lang", F.col("r").alias("other"), F.col("source").alias("item")), ["lang", "other"])
-    terms = found.where("term IS NOT NULL").join(name, ["lang", "r"]).select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), "value")
+    # columns that neither block of a task holds cost a pair what any empty column does
+    name = groups.select("lang", "r", "source", "v", F.expr("if(v = 0, 1, 1 + 1000000000 div whole)").alias("p"))
+    pairs = found.where("term IS NULL").groupBy("lang", "r", "other").agg(F.sum("value").alias("value"), F.sum("columns").alias("columns"))
+    pairs = pairs.join(name, ["lang", "r"]).join(name.select("lang", F.col("r").alias("other"), F.col("source").alias("item"), F.col("p").alias("q")), ["lang", "other"])
+    pairs = pairs.withColumn("value", F.expr("value + (v - columns) * ((p - q) * (p - q) div q)"))
+    terms = found.where("term IS NOT NULL").join(name.select("lang", "r", "source"), ["lang", "r"]).select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), "value")
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     pairs = pairs.select("lang", "source", F.lit("pair").alias("part"), "item", "value").withColumn("rank", F.row_number().over(order))
     return pairs.union(terms.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top))
