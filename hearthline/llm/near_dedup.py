@@ -2,7 +2,9 @@
 
 A shingle is five consecutive words (letters and digits, A-Z as a-z); a text of one to four words is one shingle. Its weight is its
 count in the text times 1 + ln(1 / max(df, ``floor``)), df being the share of documents that hold it, counted over all documents in
-hashed buckets (a bucket adds at most the mean number of shingles per document over ``2**DF_BITS`` to df, whatever the corpus size).
+hashed buckets. Chance adds to each bucket the mean number of shingles per document over ``2**DF_BITS``, whatever the corpus size; the floor is twice
+that, as measured on the corpus, unless one is given. So a passage that many documents share weighs less than their own words, and documents that
+differ in all but a common template stay apart.
 
 Equal texts are one node. Each text gives ``bands * rows`` weighted samples; two texts agree in one with a probability of their
 weighted Jaccard similarity. Texts that agree in all rows of a band are candidates, and every candidate pair is verified once, in the
@@ -30,6 +32,7 @@ from pyspark.sql import DataFrame, functions as F
 from hearthline.llm.common import map_arrow, staged, texts_of, thinned
 from hearthline.llm.ngrams import LETTER, lowered
 from hearthline.llm.textblocks import Block, U, blocks, mix, window_hash
+from hearthline.operators.skew import attach_by_key
 
 WORDS, DF_BITS = 5, 18
 
@@ -61,7 +64,7 @@ def bucket_of(value: np.ndarray) -> np.ndarray:
     return (value >> U(64 - DF_BITS)).astype(np.int64)
 
 
-def inverse_shares(texts: DataFrame, floor: float) -> np.ndarray:
+def inverse_shares(texts: DataFrame, floor: float | None) -> np.ndarray:
     """1 + ln(1 / max(df, floor)) per bucket. Only buckets above the floor reach the driver, fewer than there are buckets. Runs a job."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,10 +79,12 @@ def inverse_shares(texts: DataFrame, floor: float) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[at], rows))], names=["bucket", "n"])
 
     counted = staged(texts.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")), "shares")
-    n = (counted.where("bucket = -1").first() or [0, 0])[1]
+    n, held = counted.agg(F.sum(F.when(F.col("bucket") < 0, F.col("n"))), F.sum(F.when(F.col("bucket") >= 0, F.col("n")))).first()
+    if floor is None:
+        floor = min(1.0, max(2 * (held or 0) / ((n or 1) << DF_BITS), 1 / max(n or 1, 1)))
     weight = np.full(1 << DF_BITS, 1 - np.log(floor))
-    for r in counted.where(F.col("bucket") >= 0).where(F.col("n") > floor * n).collect():
-        weight[r["bucket"]] = 1 - np.log(r["n"] / n)
+    found = counted.where(F.col("bucket") >= 0).where(F.col("n") > floor * (n or 0)).toArrow()
+    weight[found["bucket"].to_numpy()] = 1 - np.log(found["n"].to_numpy() / max(n or 1, 1))
     return weight
 
 
@@ -313,7 +318,7 @@ def near_duplicates(
     bands: int = 10,
     per_band: int = 3,
     small: int = 16,
-    floor: float = 0.1,
+    floor: float | None = None,
     part_texts: int = 1024,
     part_bytes: int = 1 << 21,
 ) -> DataFrame:
@@ -344,11 +349,10 @@ def near_duplicates(
         .select("rid", "doc_id", F.coalesce("label", "node").alias("label"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")),
         "classes",
     )
-    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("rid").alias("rid"))
-    first = placed.groupBy("label").agg(F.min(order).alias("first"))
-    return placed.join(first, "label").select(
-        "rid", "doc_id", F.col("first.doc_id").alias("class_id"), "n_links", (F.col("rid") == F.col("first.rid")).alias("kept")
-    )
+    per_label = placed.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("m"))
+    classed = staged(attach_by_key(placed, per_label, ["label"], "m"), "classes")
+    first = classed.where("doc_id <=> class_id").groupBy("label").agg(F.min("rid").alias("rid")).select("rid", F.lit(True).alias("kept"))
+    return classed.join(first, "rid", "left").select("rid", "doc_id", "class_id", "n_links", F.coalesce("kept", F.lit(False)).alias("kept"))
 
 
 def keep_first(docs: DataFrame, **settings) -> DataFrame:

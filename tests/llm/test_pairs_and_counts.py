@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from hearthline.llm import collocations, divergence, jaccard_join, textblocks
+from hearthline.llm import collocations, divergence, jaccard_join, near_dedup, textblocks
 from hearthline.llm.ngrams import LOWER
 
 LONG = " ".join(f"w{i % 977}x{i % 31}" for i in range(20_000))
@@ -197,3 +197,22 @@ def test_very_long_text_is_hashed_in_runs():
     at = np.array([0, 5, len(word) - 7])
     assert len(np.unique(textblocks.window_hash(word, at[:2], 5))) == 1
     assert all(len(t) == textblocks.STEP for t in textblocks._tables.values())
+
+
+def test_template_family_stays_apart(spark):
+    """Documents that share a long template but not their own words are different; true near copies of one of them are not. Compared with exact TF-IDF."""
+    rng = random.Random(8)
+    template = [f"t{i}" for i in range(184)]
+    texts = [" ".join(template + [f"own{k}x{i}" for i in range(20)]) for k in range(30)]
+    texts += [" ".join(f"r{rng.randrange(10**9)}" for _ in range(200)) for _ in range(598)]
+    texts += [texts[40] + " one more", texts[0] + " tail"]
+    got = near_dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    classes = {r["doc_id"]: r["class_id"] for r in got}
+    sets = [Counter(tuple(w[i : i + 5]) for w in [t.split()] for i in range(len(w) - 4)) for t in texts]
+    df = Counter(g for s in sets for g in s)
+    weigh = lambda s, o, pick: sum(pick(s[g], o[g]) * (1 + np.log(len(texts) / df[g])) for g in s.keys() | o.keys())
+    for a, b in [(0, 1), (0, 629), (40, 628), (3, 17)]:
+        similar = weigh(sets[a], sets[b], min) / weigh(sets[a], sets[b], max) >= 0.8
+        assert (classes[a] == classes[b]) == similar
+    assert len({classes[k] for k in range(30)}) == 30
+    assert sum(r["kept"] for r in got) == 628
