@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from hearthline.llm.common import staged
+from hearthline.llm.common import staged, thinned
 from hearthline.llm.ngrams import LOWER
 from hearthline.llm.textblocks import U, blocks, byte_table, mix
 from hearthline.operators.skew import attach_by_key
@@ -51,16 +51,26 @@ def chunks(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
             value, first, local, n = np.unique(block.word_hash(0, LOWER), return_index=True, return_inverse=True, return_counts=True)
             if not len(value):
                 continue
+            # frequent words get small numbers, which compress well
+            order = np.argsort(-n, kind="stable")
+            rank = np.empty(len(order), dtype=np.uint32)
+            rank[order] = np.arange(1, len(order) + 1)
+            first, local, n = first[order], rank[local], n[order]
             marks = np.concatenate([[0], np.cumsum(BREAK[block.buf])])
             apart = marks[block.start[1:]] != marks[block.end[:-1]]
             new = block.first[(block.first > 0) & (block.first < len(block.start))]
             apart[new - 1] = True
             at = np.arange(len(local)) + np.concatenate([[0], np.cumsum(apart)])
             tokens = np.zeros(int(at[-1]) + 1, dtype=np.uint32)
-            tokens[at] = local + 1
+            tokens[at] = local
             low = LOWER[block.buf].tobytes()
             yield tokens, [low[block.start[i] : block.end[i]] for i in first], n
 
+    def planes(tokens: np.ndarray) -> bytes:
+        """The four bytes of all numbers one after the other, compressed, behind how many numbers they are."""
+        spread = np.ascontiguousarray(tokens.view(np.uint8).reshape(-1, 4).T).tobytes()
+        return len(tokens).to_bytes(8, "little") + pa.compress(spread, "zstd", asbytes=True)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = TaskContext.get().partitionId() << 32
         names = ["chunk", "lang", "tokens", "local", "word", "n"]
@@ -73,7 +83,7 @@ def chunks(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
                     columns = [
                         pa.array(np.full(m + 1, chunk)),
                         pa.array([lang] * (m + 1)),
-                        pa.array([tokens.tobytes()] + [None] * m, pa.binary()),
+                        pa.array([planes(tokens)] + [None] * m, pa.binary()),
                         pa.array(np.arange(m + 1)),
                         pa.array([None, *words], pa.binary()).cast(pa.string()),
                         pa.array(np.concatenate([[0], n])),
@@ -85,6 +95,13 @@ def chunks(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
     return rows.mapInArrow(run, "chunk long, lang string, tokens binary, local long, word string, n long")
 
 
+def token_numbers(blob: bytes) -> np.ndarray:
+    """The chunk's word numbers from their compressed bytes."""
+    m = int.from_bytes(blob[:8], "little")
+    spread = pa.decompress(blob[8:], 4 * m, "zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(spread, np.uint8).reshape(4, m).T).view(np.uint32).reshape(m)
+
+
 def numbered(words: DataFrame, buckets: int = 1024) -> DataFrame:
     """lang, word, f and a dense id from 1 per language; the numbers of a language are given bucket by bucket."""
     placed = words.withColumn("bucket", F.pmod(F.xxhash64("word"), F.lit(buckets)))
@@ -196,7 +213,7 @@ def filters(coded: DataFrame, ids: DataFrame, layouts: dict[str, tuple[int, int]
     def step(tokens: pa.Table, mine: pa.Table) -> Iterator[pa.RecordBatch]:
         found: list[tuple[str, int, int, bytes]] = []
         for lang, blob in zip(tokens["lang"].to_pylist(), tokens["tokens"].to_pylist(), strict=True):
-            local = np.frombuffer(blob, dtype=np.uint32)
+            local = token_numbers(blob)
             known = np.zeros(int(local.max(initial=0)) + 1, dtype=U)
             known[mine["local"].to_numpy()] = mine["id"].to_numpy().astype(U)
             word = known[local]
@@ -286,7 +303,9 @@ def collocations(
     kept = words.groupBy("lang").agg(F.max("id").alias("v"))
     totals = staged(totals.join(kept, "lang", "left"), "totals")
     layouts = {r["lang"]: (int(r["v"]).bit_length(), int(r["n"])) for r in totals.where("v IS NOT NULL").collect()}
-    ids = local.join(words, ["lang", "word"]).select("chunk", "local", "id")
+    place = F.xxhash64("lang", "word").alias("place")
+    own = thinned(local.select("chunk", "lang", "local", "word", place), words.select(place), "place")
+    ids = own.join(words, ["lang", "word"]).select("chunk", "local", "id")
     shards = filters(coded.where("tokens IS NOT NULL").select("chunk", "lang", "tokens"), ids, layouts, max_words, range_tokens)
     counts = staged(frequent(shards, layouts, min_count, range_tokens), "n-gram-counts")
     found = staged(scored(counts, words, max_words), "candidates")
