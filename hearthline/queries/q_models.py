@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from hearthline import config as C
 from hearthline.functions import scalars as S
 from hearthline.models import estimators as M, explain, prep, tuning
+from hearthline.models.histogram_boost import Settings, fit_boosted
 from hearthline.models.routed import fit_per_cohort, fit_routed, predict_per_cohort
 from hearthline.operators import splits as L
+from hearthline.operators.roles import model_matrix
 from hearthline.operators.evaluation import classification_metrics, confusion_cells, regression_metrics
 from hearthline.plans import featuring, scoring
 from hearthline.queries.q_clean import split_steps_sql
@@ -190,6 +192,37 @@ def mdl6(spark, d):
     return rounded(regression_metrics(scored, "label_score", "prediction"))
 
 
+def _matrix(spark, d):
+    """The whole feature matrix with its labels and split, and its numeric columns; text columns are codes of their levels, nulls stay null."""
+    raw = certificates(spark, d).where(F.col(C.TARGET).isin(*C.BANDS))
+    rows = model_matrix(featuring.engineer(raw), keep=["LMK_KEY", C.DATE], drop_raw_descriptions=True)
+    texts = [f.name for f in rows.schema if f.dataType.simpleString() == "string" and f.name not in ("LMK_KEY", "label_band")]
+    codes = {c: F.when(F.col(c).isNotNull(), F.pmod(F.xxhash64(c), F.lit(1 << 20)).cast("double")) for c in texts}
+    rows = rows.withColumns(codes).withColumn("split", F.when(_is_train(), "train").otherwise("test"))
+    skip = {"LMK_KEY", C.DATE, "label_band", "label_score", "split"}
+    features = [f.name for f in rows.schema if f.name not in skip and f.dataType.simpleString() in ("double", "int", "bigint")]
+    return staged(rows, "matrix"), features
+
+
+@query("mdl6_histogram_regressor")
+def mdl6_histogram(spark, d):
+    """Leaf-wise boosted trees with native nulls on the whole feature matrix, judged on later certificates."""
+    rows, features = _matrix(spark, d)
+    model = fit_boosted(rows.where("split = 'train'"), features, "label_score", settings=Settings(rounds=20, leaves=31, rate=0.3))
+    scored = model.predict(rows.where("split = 'test'"), ["label_score"])
+    return rounded(regression_metrics(scored, "label_score", "prediction"))
+
+
+@query("mdl7_joint_boosted_classifier")
+def mdl7_joint(spark, d):
+    """All bands in one round of boosting: one tree per band and round, softmax of their scores."""
+    rows, features = _matrix(spark, d)
+    rows = rows.withColumn("label", S.encode_band(F.col("label_band")).cast("double"))
+    model = fit_boosted(rows.where("split = 'train'"), features, "label", classes=len(C.BANDS), settings=Settings(rounds=10, leaves=15, rate=0.3))
+    scored = model.predict(rows.where("split = 'test'").withColumn("t", F.col("label").cast("int")), ["t"], "probs")
+    return _judged(scored.withColumn("p", F.array_position("probs", F.array_max("probs")) - 1), "p")
+
+
 @query("mdl7_boosted_classifier")
 def mdl7(spark, d):
     train, test = _sides(spark, d)
