@@ -4,16 +4,19 @@ A text's set are its distinct ``width``-word shingles (words between ASCII white
 texts link when 100 * intersection >= ``percent`` * union; the result names the component of every text.
 
 The columns of the matrix (n-grams) are dealt into blocks by hash. The sizes of two linked sets bound how many columns they can differ in:
-at most 2 * (100 - percent) * m / (100 + percent) for sets of up to m. With more blocks than that, two linked rows agree in a whole block,
-so only rows that agree in some block of columns (one hashed key per row and block) are multiplied; no linked pair is missed. Sizes are
-cut into classes so wide that linked sets lie in one class or in neighbouring ones, and a row gives keys for both pairs of classes.
-``spare`` blocks more than the bound needs mean that linked rows agree in more blocks than the row has empty ones: a row shows its empty
-blocks only when it has more of them than that.
-
-Rows of one block key are multiplied with the smallest of them first. Products of later pairs are taken only where the two rows are not
-yet in one component, so a family of near copies costs its size, not its square. Where a key still holds rows of several components, its
-pairs are named (up to ``small`` rows) or its rows are dealt into parts, and a task multiplies two parts, column block by column block: it adds up
-overlaps and drops each pair as soon as the columns left cannot lift it to the bound of the two sizes.
+at most (100 - percent) * (m + n) / (100 + percent). A row gives one hashed key per block; with more blocks than that bound, linked rows
+agree in a whole block, so no linked pair is missed by multiplying only rows that share a key. Sizes are cut into classes so wide that
+linked sets lie in one class or in neighbouring ones, and a row gives keys for both pairs of classes. Some blocks are ``spare``: linked
+rows agree in more blocks than that, and a row shows its empty blocks only when more of them than are spare are empty.
+
+Pairs of rows pass three bounds, the cheap ones first: their sizes; the distance of their folded rows (columns added up modulo 2 into
+two to four bits per column, which can only make rows more alike); the overlap of their n-grams. Rows of one key are multiplied with
+the smallest of them first. Later pairs are taken only where the two rows are not yet in one component, so a family of near copies
+costs its size, not its square. Where a key still holds rows of several components, its pairs are named (up to ``small`` rows), or its
+rows are dealt into parts. A task multiplies the folded rows of two parts by blocks of columns, adds up the distances and drops
+each pair whose distance has passed the bound of its sizes; a pair counts only at the first such key that its rows share. Only rows
+left in some pair come back, with their texts, and a second product, by blocks of n-grams, adds up overlaps and drops each
+pair that the n-grams left cannot lift to its bound. A task returns no more links than join the components it holds.
 
 Equal texts are one row of the matrix. Texts are told apart by 64-bit hashes, n-grams as well. Null texts are empty; empty texts and texts
 without words have an empty set and link with nothing. Rows that repeat a doc_id, or have none, are rows like any other; a component is
@@ -102,8 +105,18 @@ def block_keys(owner: np.ndarray, value: np.ndarray, n: int, percent: int) -> tu
     return np.concatenate(owners), np.concatenate(keys)
 
 
+def folded_rows(owner: np.ndarray, value: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's columns added up modulo 2 into a power of two of bits (at least two per column): 64-bit words, and the first of each text."""
+    size = np.bincount(owner, minlength=n)
+    words = np.array([1 << max(0, (2 * int(s) - 1).bit_length() - 6) for s in size], dtype=np.int64)
+    first = np.concatenate([[0], np.cumsum(words)])
+    place = first[owner] * 64 + (mix(value + U(1)) % (words[owner] * 64).astype(U)).astype(np.int64)
+    odd = (np.bincount(place, minlength=int(first[-1]) * 64) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view(np.int64), first
+
+
 def signatures(rows: DataFrame, width: int, percent: int) -> DataFrame:
-    """doc_id, node (hash of the text), n_shingles, and the keys of the blocks of columns."""
+    """doc_id, node (hash of the text), n_shingles, the folded row, and the keys of the blocks of columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -113,20 +126,24 @@ def signatures(rows: DataFrame, width: int, percent: int) -> DataFrame:
                 order = np.argsort(who, kind="stable")
                 cut = np.searchsorted(who[order], np.arange(block.n + 1)).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(cut), pa.array(key[order].view(np.int64)))
+                words, first = folded_rows(owner, value, block.n)
+                folded = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(words))
                 size = pa.array(np.bincount(owner, minlength=block.n).astype(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [batch["doc_id"][block.rows], batch["node"][block.rows], size, lists], names=["doc_id", "node", "n_shingles", "keys"]
+                    [batch["doc_id"][block.rows], batch["node"][block.rows], size, folded, lists],
+                    names=["doc_id", "node", "n_shingles", "folded", "keys"],
                 )
         pa.default_memory_pool().release_unused()
 
-    return rows.select("doc_id", "node", "text").mapInArrow(run, "doc_id long, node long, n_shingles long, keys array<long>")
+    return rows.select("doc_id", "node", "text").mapInArrow(run, "doc_id long, node long, n_shingles long, folded array<long>, keys array<long>")
 
 
-def one_text(rows: DataFrame, copies: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node and text of the wanted nodes, read at the smallest doc_id of each text only, so that no copy is shuffled."""
-    chosen = wanted.select("node").distinct().join(copies, "node").select("node", F.xxhash64("node", "first_id").alias("place"))
-    found = thinned(rows.select("text", F.xxhash64("node", "doc_id").alias("place")), chosen, "place")
-    return found.join(chosen, "place").dropDuplicates(["node"]).select("node", "text")
+def one_row(rows: DataFrame, copies: DataFrame, wanted: DataFrame) -> DataFrame:
+    """One of the equal rows of each wanted node, read at the smallest doc_id of its text only, so that no copy is shuffled."""
+    chosen = wanted.select("node").distinct().join(copies, "node").select(F.col("node").alias("__node"), F.xxhash64("node", "first_id").alias("__at"))
+    found = thinned(rows.withColumn("__place", F.xxhash64("node", "doc_id")), chosen.withColumnRenamed("__at", "__place"), "__place")
+    found = found.join(chosen, F.col("node") == F.col("__node")).where("__place = __at")
+    return found.dropDuplicates(["node"]).drop("doc_id", "__node", "__at", "__place")
 
 
 def sets_of(texts: pa.Array, width: int) -> list[np.ndarray]:
@@ -169,23 +186,34 @@ def multiply_pairs(pairs: DataFrame, texts: DataFrame, width: int, percent: int,
     return lined.mapInArrow(run, "a long, b long")
 
 
+def near_rows(left: np.ndarray, right: np.ndarray, most: np.ndarray, todo: np.ndarray, columns: int = 256) -> np.ndarray:
+    """The pairs marked in ``todo`` that differ in at most ``most`` columns of their bits: products by blocks of columns."""
+    distance = np.zeros(todo.shape, dtype=np.int64)
+    todo = todo.copy()
+    for at in range(0, left.shape[1], columns):
+        rows, cols = np.flatnonzero(todo.any(axis=1)), np.flatnonzero(todo.any(axis=0))
+        if not len(rows):
+            break
+        a, b = left[rows, at : at + columns].astype(np.float32), right[cols, at : at + columns].astype(np.float32)
+        distance[np.ix_(rows, cols)] += (a.sum(axis=1)[:, None] + b.sum(axis=1)[None, :] - 2 * (a @ b.T)).astype(np.int64)
+        todo &= distance <= most
+    return todo
+
+
 def product(left: list[np.ndarray], right: list[np.ndarray], todo: np.ndarray, percent: int, columns: int = 2048) -> np.ndarray:
     """The linked ones of the pairs marked in ``todo``, from the product of two row blocks over blocks of columns."""
     sizes = [np.array([len(v) for v in side], dtype=np.int64) for side in (left, right)]
-    rest = [s.copy() for s in sizes]
     total = sizes[0][:, None] + sizes[1][None, :]
-    overlap = np.zeros(todo.shape, dtype=np.int64)
-    todo = todo & reaches(np.minimum(sizes[0][:, None], sizes[1][None, :]), sizes[0][:, None], sizes[1][None, :], percent)
     flat = [np.concatenate([np.zeros(0, U), *side]) for side in (left, right)]
     owner = [np.repeat(np.arange(len(side)), s) for side, s in zip((left, right), sizes, strict=True)]
     order = [np.argsort(v, kind="stable") for v in flat]
     flat, owner = [v[o] for v, o in zip(flat, order, strict=True)], [w[o] for w, o in zip(owner, order, strict=True)]
     both = np.intersect1d(np.unique(flat[0]), np.unique(flat[1]), assume_unique=True)
     # columns that only one side has never overlap
-    for v, w, r in zip(flat, owner, rest, strict=True):
-        r -= np.bincount(w[~np.isin(v, both)], minlength=len(r))
+    rest = [s - np.bincount(w[~np.isin(v, both)], minlength=len(s)) for v, w, s in zip(flat, owner, sizes, strict=True)]
+    overlap, todo = np.zeros(todo.shape, dtype=np.int64), todo.copy()
     for at in range(0, len(both), columns):
-        todo &= (overlap + np.minimum(rest[0][:, None], rest[1][None, :])) * (100 + percent) >= percent * total
+        todo &= reaches(overlap + np.minimum(rest[0][:, None], rest[1][None, :]), sizes[0][:, None], sizes[1][None, :], percent)
         if not todo.any():
             return todo
         names, dense = both[at : at + columns], []
@@ -199,44 +227,76 @@ def product(left: list[np.ndarray], right: list[np.ndarray], todo: np.ndarray, p
             dense.append(matrix)
         rows, cols = np.flatnonzero(todo.any(axis=1)), np.flatnonzero(todo.any(axis=0))
         overlap[np.ix_(rows, cols)] += (dense[0][rows] @ dense[1][cols].T).astype(np.int64)
-    return todo & reaches(overlap, sizes[0][:, None], sizes[1][None, :], percent)
-
-
-def multiply_parts(met: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links (a, b) that join the labels found between two parts of a key; met: key, part, i, j, node, label, smaller keys, text."""
-
-    def step(group: pa.Table) -> pa.Table:
-        none = pa.table({c: pa.array([], pa.int64()) for c in ("a", "b")})
-        part, node, label = (group[c].to_numpy() for c in ("part", "node", "label"))
-        left, right = np.flatnonzero(part == group["i"][0].as_py()), np.flatnonzero(part == group["j"][0].as_py())
-        if not len(left) or not len(right):
-            return none
-        todo = label[left][:, None] != label[right][None, :]
-        lower = group["lower"].to_pylist()
-        where: dict[int, tuple[list[int], list[int]]] = {}
-        for side, rows in enumerate((left, right)):
-            for k, row in enumerate(rows):
-                for key in lower[row] or ():
-                    where.setdefault(key, ([], []))[side].append(k)
-        for of_left, of_right in where.values():
-            if of_left and of_right:
-                todo[np.ix_(of_left, of_right)] = False
+    return todo & (overlap * (100 + percent) >= percent * total)
+
+
+def open_pairs(group: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of the two parts of a tile, and the pairs of them that sizes and folded rows allow and whose first key this is."""
+    part, label, n = (group[c].to_numpy() for c in ("part", "label", "n"))
+    words = group["folded"].combine_chunks()
+    cut, flat = words.offsets.to_numpy(), words.values.to_numpy()
+    least = int(np.diff(cut).min())
+    bits = np.zeros((len(n), least * 64), dtype=np.uint8)
+    for r in range(len(n)):
+        row = np.bitwise_xor.reduce(flat[cut[r] : cut[r + 1]].reshape(-1, least), axis=0)
+        bits[r] = np.unpackbits(row.view(np.uint8), bitorder="little")
+    left, right = np.flatnonzero(part == group["i"][0].as_py()), np.flatnonzero(part == group["j"][0].as_py())
+    x, y = n[left][:, None], n[right][None, :]
+    todo = (label[left][:, None] != label[right][None, :]) & (100 * np.minimum(x, y) >= percent * np.maximum(x, y))
+    lower = group["lower"].to_pylist()
+    where: dict[int, tuple[list[int], list[int]]] = {}
+    for side, rows in enumerate((left, right)):
+        for k, row in enumerate(rows):
+            for key in lower[row] or ():
+                where.setdefault(key, ([], []))[side].append(k)
+    for of_left, of_right in where.values():
+        if of_left and of_right:
+            todo[np.ix_(of_left, of_right)] = False
+    return left, right, near_rows(bits[left], bits[right], (100 - percent) * (x + y) // (100 + percent), todo)
+
+
+def multiply_folded(dealt: DataFrame, percent: int) -> DataFrame:
+    """The rows (key, i, j, node) of each tile that are left in some pair; dealt: key, i, j, part, node, label, n, folded, lower."""
+
+    def step(tile: pa.Table) -> pa.Table:
+        left, right, todo = open_pairs(tile, percent)
+        kept = np.unique(np.concatenate([left[todo.any(axis=1)], right[todo.any(axis=0)]]))
+        return tile.select(["key", "i", "j", "node"]).take(pa.array(kept))
+
+    return dealt.groupBy("key", "i", "j").applyInArrow(step, "key long, i int, j int, node long")
+
+
+def multiply_parts(dealt: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) that join the components met in a tile, fewer than its rows; dealt as before, and text."""
+
+    def step(tile: pa.Table) -> pa.Table:
+        left, right, todo = open_pairs(tile, percent)
         rows, cols = np.flatnonzero(todo.any(axis=1)), np.flatnonzero(todo.any(axis=0))
-        if not len(rows):
-            return none
-        sets = [sets_of(group["text"].take(pa.array(at)).combine_chunks(), width) for at in (left[rows], right[cols])]
-        linked = product(*sets, todo[np.ix_(rows, cols)], percent)
-        x, y = np.nonzero(linked)
-        a, b = left[rows[x]], right[cols[y]]
-        # one link for each two labels is enough, for they are components already
-        pair = np.unique(np.stack([np.minimum(label[a], label[b]), np.maximum(label[a], label[b])], axis=1), axis=0, return_index=True)[1]
-        return pa.table({"a": pa.array(node[a[pair]], pa.int64()), "b": pa.array(node[b[pair]], pa.int64())})
+        found: list[tuple[int, int]] = []
+        if len(rows):
+            node, label = tile["node"].to_numpy(), tile["label"].to_numpy()
+            sets = [sets_of(tile["text"].take(pa.array(at)).combine_chunks(), width) for at in (left[rows], right[cols])]
+            x, y = np.nonzero(product(*sets, todo[np.ix_(rows, cols)], percent))
+            a, b = left[rows[x]], right[cols[y]]
+            root: dict[int, int] = {}
+
+            def top(name: int) -> int:
+                while root.setdefault(name, name) != name:
+                    root[name] = name = root[root[name]]
+                return name
 
-    return met.groupBy("key", "i", "j").applyInArrow(step, "a long, b long")
+            for p, q in zip(a.tolist(), b.tolist(), strict=True):
+                one, other = top(int(label[p])), top(int(label[q]))
+                if one != other:
+                    root[one] = other
+                    found.append((int(node[p]), int(node[q])))
+        return pa.table({c: pa.array([f[k] for f in found], pa.int64()) for k, c in enumerate("ab")})
+
+    return dealt.groupBy("key", "i", "j").applyInArrow(step, "a long, b long")
 
 
 def jaccard_components(
-    docs: DataFrame, width: int = WIDTH, percent: int = 90, small: int = 16, part_texts: int = 512, part_bytes: int = 1 << 21
+    docs: DataFrame, width: int = WIDTH, percent: int = 90, small: int = 16, part_rows: int = 1024, part_shingles: int = 1 << 20
 ) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id. Stages signatures, keys, links and labels in jobs of its own."""
     rows = texts_of(docs).withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("node", F.xxhash64("text"))
@@ -248,27 +308,36 @@ def jaccard_components(
     met = staged(thinned(keys, shared, "key").distinct(), "met")
     weight = met.groupBy("key").agg(F.count("*").alias("n")).join(shared, "key")
     members = staged(attach_by_key(met, weight, ["key"], "n", how="inner"), "members")
-
-    star = members.where("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
-    star = staged(star, "star")
-    wanted = star.select(F.col("a").alias("node")).union(star.select("b"))
-    texts = staged(one_text(rows, copies, wanted), "row-texts")
-    links = staged(multiply_pairs(star, texts, width, percent), "links")
-
+    rowed = one_row(signed.select("doc_id", "node", F.col("n_shingles").alias("n"), "folded"), copies, members)
+    rowed = staged(rowed, "rows")
+
+    def plausible(pairs: DataFrame) -> DataFrame:
+        """The pairs that the sizes and folded rows allow to link; of two lengths of folded rows the longer is folded once more."""
+        a, b = (rowed.select(F.col("node").alias(c), F.struct("n", "folded").alias(f"of_{c}")) for c in "ab")
+        fit = "100 * least(of_a.n, of_b.n) >= {0} * greatest(of_a.n, of_b.n)".format(percent)
+        both = pairs.join(a, "a").join(b, "b").where(fit).withColumn("m", F.expr("least(size(of_a.folded), size(of_b.folded))"))
+        fold = "if(size({0}.folded) = m, {0}.folded, zip_with(slice({0}.folded, 1, m), slice({0}.folded, m + 1, m), (x, y) -> x ^ y))"
+        apart = f"aggregate(zip_with({fold.format('of_a')}, {fold.format('of_b')}, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
+        return both.where(f"{apart} * {100 + percent} <= {100 - percent} * (of_a.n + of_b.n)").select("a", "b")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        pairs = staged(pairs, "pairs")
+        texts = staged(one_row(rows, copies, pairs.select(F.col("a").alias("node")).union(pairs.select("b"))), "row-texts")
+        return staged(multiply_pairs(pairs, texts, width, percent), "links")
+
+    links = linked(plausible(members.where("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()))
     # keys whose rows are not yet of one component
     labels = components(links)
     named = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    sizes = texts.select("node", F.octet_length("text").alias("n_bytes"))
     open_keys = (
-        named.join(sizes, "node")
+        named.join(rowed.select("node", F.col("n").alias("weight")), "node")
         .groupBy("key")
-        .agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"), F.sum("n_bytes").alias("total"))
+        .agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"), F.sum("weight").alias("total"))
         .where("low <> high")
-        .select("key", "n", F.ceil(F.greatest(F.col("n") / part_texts, F.col("total") / part_bytes)).cast("int").alias("parts"))
+        .select("key", "n", F.col("n").alias("size"), F.ceil(F.greatest(F.col("n") / part_rows, F.col("total") / part_shingles)).cast("int").alias("parts"))
     )
     open_keys = staged(open_keys, "open-keys")
-    opened = thinned(named.select("key", "node", "center", "label"), open_keys, "key").withColumn("one", F.lit(1))
-    opened = staged(attach_by_key(opened, open_keys.withColumn("size", F.col("n")), ["key"], "n", how="inner"), "opened")
+    opened = staged(attach_by_key(thinned(named.select("key", "node", "center", "label"), open_keys, "key"), open_keys, ["key"], "n", how="inner"), "opened")
     few = (
         opened.where(F.col("size") <= small)
         .groupBy("key", "center")
@@ -279,17 +348,20 @@ def jaccard_components(
         .select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
         .distinct()
     )
-    many = opened.where(F.col("size") > small)
-    of_node = many.groupBy("node").agg(F.array_sort(F.collect_set("key")).alias("keys"))
+    many = staged(opened.where(F.col("size") > small), "many")
+    of_node = many.groupBy("node").agg(F.collect_set("key").alias("keys")).join(rowed, "node")
     dealt = (
-        many.join(of_node, "node")
-        .withColumn("lower", F.expr("filter(keys, k -> k < key)"))
-        .withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+        many.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("key", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "node", "label", "lower")
+        .join(of_node, "node")
+        .withColumn("lower", F.expr("filter(keys, k -> k < key)"))
+        .select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "label", "n", "folded", "lower")
     )
-    late = staged(multiply_pairs(staged(few, "few"), texts, width, percent), "links")
-    crowd = staged(multiply_parts(dealt.join(texts, "node"), width, percent), "links")
+    left_over = staged(multiply_folded(dealt, percent), "left-over")
+    texts = staged(one_row(rows, copies, left_over), "row-texts")
+    again = dealt.join(left_over, ["key", "i", "j", "node"], "left_semi").join(texts, "node")
+    crowd = staged(multiply_parts(again, width, percent), "links")
+    late = linked(plausible(few))
     labels = components(links.union(late).union(crowd))
 
     named = copies.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
