@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from hearthline import config as C
 from hearthline.functions import scalars as S
@@ -65,8 +65,12 @@ def conform(df: DataFrame, contract: list[str], extra_keep: Iterable[str] = ())
     return df.select(*extra_keep, *contract)
 
 
-def column_difference(spark: SparkSession, left: DataFrame, right: DataFrame) -> DataFrame:
-    """Names present on one side only; reads the two schemas, no rows."""
-    a, b = set(left.columns), set(right.columns)
-    rows = [(c, "left_only") for c in sorted(a - b)] + [(c, "right_only") for c in sorted(b - a)]
-    return spark.createDataFrame(rows, "column string, side string")
+def column_difference(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(column, side): columns that hold a value in one of the two tables only. Each table is read once."""
+
+    def filled(df: DataFrame, side: str) -> DataFrame:
+        held = df.agg(*[F.count(c).alias(c) for c in df.columns])
+        return held.unpivot([], df.columns, "column", "n").where("n > 0").select("column", F.lit(side).alias("side"))
+
+    sides = filled(left, "left_only").unionByName(filled(right, "right_only"))
+    return sides.groupBy("column").agg(F.min("side").alias("side"), F.count(F.lit(1)).alias("n")).where("n = 1").select("column", "side")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from hearthline.session import staged
@@ -29,56 +31,50 @@ def basket_patterns(baskets: DataFrame, items: str, min_support: float) -> tuple
     return singles, patterns
 
 
-def frequent_itemsets(baskets: DataFrame, items: str = "items", min_support: float = 0.03) -> DataFrame:
-    """Itemsets of up to three items: (itemset, size, n, support).
+def frequent_itemsets(baskets: DataFrame, items: str = "items", min_support: float = 0.03, max_size: int | None = 3) -> DataFrame:
+    """Itemsets of up to ``max_size`` items, of any size where it is None: (itemset, size, n, support).
 
-    Identical baskets are merged before anything is enumerated; triples only
-    grow from frequent pairs. Baskets and patterns are written once, since several branches read them.
+    Identical baskets are merged before anything is enumerated. A row of a level is a frequent itemset and the items that follow it in some
+    baskets, with the number of those baskets; equal rows are merged. The next level adds each following item and keeps the itemsets that are
+    frequent, until none is. A level is written once and read twice: to count, and to go on.
     """
     singles, patterns = basket_patterns(staged(baskets.select(items), "baskets"), items, min_support)
     patterns = staged(patterns, "patterns")
     enough = F.col("n") >= F.col("baskets") * F.lit(min_support)
-    first = patterns.where(F.size("pattern") >= 2).select("*", F.posexplode("pattern").alias("i", "a"))
-    pairs_in = first.select(
-        "n", "baskets", "a",
-        F.posexplode(F.expr("slice(pattern, i + 2, size(pattern))")).alias("j", "b"),
-        F.expr("slice(pattern, i + 2, size(pattern))").alias("rest"),
-    )
-    pairs = pairs_in.groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("baskets").alias("baskets")).where(enough)
-    triples_in = pairs_in.join(pairs.select("a", "b"), ["a", "b"], "left_semi").select(
-        "n", "baskets", "a", "b", F.explode(F.expr("slice(rest, j + 2, size(rest))")).alias("c")
-    )
-    triples = (
-        triples_in.groupBy("a", "b", "c").agg(F.sum("n").alias("n"), F.max("baskets").alias("baskets")).where(enough)
+    counts = F.sum("n").alias("n"), F.max("baskets").alias("baskets")
+    found = [singles.select(F.array("item").alias("itemset"), "n", "baskets")]
+    level = patterns.select("n", "baskets", F.expr("CAST(array() AS array<string>)").alias("itemset"), F.col("pattern").alias("rest"))
+    grown = _longer(level).where(F.size("rest") > 0).groupBy("itemset", "rest").agg(*counts)
+    size = 1
+    while max_size is None or size < max_size:
+        size += 1
+        grown = staged(_longer(grown), "grown-itemsets")
+        kept = staged(grown.groupBy("itemset").agg(*counts).where(enough), "itemsets")
+        if kept.isEmpty():
+            break
+        found.append(kept)
+        grown = grown.where(F.size("rest") > 0).join(kept.select("itemset"), "itemset", "left_semi").groupBy("itemset", "rest").agg(*counts)
+    return reduce(DataFrame.unionByName, found).select(
+        "itemset", F.size("itemset").alias("size"), "n", (F.col("n") / F.col("baskets")).alias("support")
     )
 
-    def shape(df: DataFrame, *cols: str) -> DataFrame:
-        return df.select(
-            F.array(*cols).alias("itemset"), F.lit(len(cols)).alias("size"), "n",
-            (F.col("n") / F.col("baskets")).alias("support"),
-        )
 
-    return shape(singles, "item").unionByName(shape(pairs, "a", "b")).unionByName(shape(triples, "a", "b", "c"))
+def _longer(level: DataFrame) -> DataFrame:
+    """Every itemset with each one of the items that follow it, and what follows that item."""
+    grown = level.select("n", "baskets", "itemset", "rest", F.posexplode("rest").alias("j", "item"))
+    return grown.select(
+        "n", "baskets", F.array_append("itemset", F.col("item")).alias("itemset"), F.expr("slice(rest, j + 2, size(rest))").alias("rest")
+    )
 
 
 def association_rules(itemsets: DataFrame, min_lift: float = 1.05) -> DataFrame:
-    """Every split of a frequent itemset into antecedent and consequent, with confidence and lift; the itemsets are written once."""
+    """Every split of a frequent itemset into antecedent and consequent, both of any size, with confidence and lift; the itemsets are written once."""
     itemsets = staged(itemsets, "itemsets")
-    one = F.transform(
-        "itemset",
-        lambda x: F.struct(
-            F.array(x).alias("antecedent"), F.array_except(F.col("itemset"), F.array(x)).alias("consequent")
-        ),
-    )
-    two = F.transform(
-        "itemset",
-        lambda x: F.struct(
-            F.array_except(F.col("itemset"), F.array(x)).alias("antecedent"), F.array(x).alias("consequent")
-        ),
-    )
-    splits = itemsets.where(F.col("size") >= 2).select(
-        "support", F.inline(F.when(F.col("size") == 2, one).otherwise(F.concat(one, two)))
+    halves = F.expr(
+        "transform(sequence(1L, shiftleft(1L, size) - 2), m -> struct("
+        "filter(itemset, (x, i) -> (shiftright(m, i) & 1) = 1) AS antecedent, filter(itemset, (x, i) -> (shiftright(m, i) & 1) = 0) AS consequent))"
     )
+    splits = itemsets.where(F.col("size") >= 2).select("support", F.inline(halves))
     sides = itemsets.select("itemset", F.col("support").alias("s"))
     left = sides.withColumnsRenamed({"itemset": "antecedent", "s": "support_a"})
     right = sides.withColumnsRenamed({"itemset": "consequent", "s": "support_c"})

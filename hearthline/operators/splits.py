@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from hearthline import config as C
 from hearthline.functions.hashing import hash32, uniform
@@ -84,9 +84,16 @@ def latest_slice(df: DataFrame, date: str = C.DATE, share: float = 0.15, name: s
 
 
 def hash_sample(df: DataFrame, n: int, id_col: str, seed: int | str = 42) -> DataFrame:
-    """Uniform sample of min(n, rows) rows without replacement; each task keeps n candidates."""
+    """Uniform sample of min(n, rows) rows without replacement: those of the smallest hashes.
+
+    Hashes are first counted by their upper half, which gives the range that holds the n smallest; only rows up to it (n and a 65,536th of all, as
+    a mean) are ordered, so the last task does not grow with the number of tasks.
+    """
     key = hash32(seed, F.col(id_col))
-    return df.orderBy(key, F.col(id_col)).limit(n)
+    counts = df.groupBy(F.shiftright(key, 16).alias("_range")).agg(F.count(F.lit(1)).alias("_n"))
+    upto = counts.withColumn("_upto", F.sum("_n").over(Window.orderBy("_range")))  # 65,536 rows at most
+    last = upto.agg(F.coalesce(F.min(F.when(F.col("_upto") >= n, F.col("_range"))), F.lit(1 << 16))).scalar()
+    return df.where(F.shiftright(key, 16) <= last).orderBy(key, F.col(id_col)).limit(n)
 
 
 # --- row weights ----------------------------------------------------------------------------------

@@ -64,6 +64,18 @@ def rec1_parts(spark, d):
     return rounded(found.withColumn("itemset", F.array_join("itemset", "|")))
 
 
+# Every subset of every basket, by the bits of a number.
+_ANY = f"""{_ITEMS}, li AS (SELECT b, list(i ORDER BY i) AS s FROM bi GROUP BY 1), m AS (SELECT s, unnest(range(1, CAST(pow(2, len(s)) AS BIGINT))) AS m FROM li),
+ su AS (SELECT list_filter(s, lambda x, i: (m >> (i - 1)) & 1 = 1) AS s FROM m), sets AS (SELECT s, count(*) AS n FROM su GROUP BY 1 HAVING count(*) >= (SELECT nb FROM nb) * 0.01::DOUBLE)"""
+
+
+@query("rec1_any_size_itemsets", rsql(f"WITH {_ANY} SELECT array_to_string(s, '|') AS itemset, CAST(len(s) AS INT) AS size, CAST(n AS BIGINT) AS n, n / nb AS support FROM sets, nb", "support"))
+def rec1_any(spark, d):
+    """Itemsets of any size, level by level until none is frequent."""
+    found = U.frequent_itemsets(_baskets(spark, d), min_support=0.01, max_size=None)
+    return rounded(found.withColumn("itemset", F.array_join("itemset", "|")))
+
+
 # --- neighbours -----------------------------------------------------------------------------------
 
 _HELD = f"{uniform_sql(7, 'vec_id')} < 0.2::DOUBLE"

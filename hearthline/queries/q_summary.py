@@ -52,6 +52,11 @@ def agg4(spark, d):
     return rounded(A.domain_counts(df, C.TARGET))
 
 
+@query("agg4_all_domain_counts", rsql(f"WITH {cert_cte()} {_domain_rows('CURRENT_ENERGY_RATING', 'cert')}", "share"))
+def agg4_all(spark, d):
+    return rounded(A.domain_counts(certificates(spark, d, C.TARGET), C.TARGET))
+
+
 def _pivot_sql(row: str, col: str, source: str, share: bool = False) -> str:
     total = " + ".join(f"count(*) FILTER ({col} = '{b}')" for b in C.BANDS)
     cells = ", ".join(
