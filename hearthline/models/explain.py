@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import reduce
+import hashlib
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hearthline.operators.evaluation import classification_metrics, confusion_cells
@@ -20,6 +22,69 @@ def shuffled_column(df: DataFrame, col: str, id_col: str, seed: int | str) -> Da
     return places.join(values, "position").select(id_col, "_new")
 
 
+def permuted_positions(position: np.ndarray, n: int, key: int) -> np.ndarray:
+    """A keyed bijection of 0..n-1, one place at a time.
+
+    Eight Feistel rounds over pairs (place // b, place % b) of a rectangle a x b that holds n or few more places; a place that
+    leaves the range walks on until it is back in it, which keeps the map a bijection.
+    """
+    a = max(1, int(np.ceil(np.sqrt(n))))
+    b = -(-n // a)
+    out = position.astype(np.uint64)
+    todo = np.arange(len(out))
+    while len(todo):
+        left, right = out[todo] // np.uint64(b), out[todo] % np.uint64(b)
+        for turn in range(4):
+            left = (left + _mixed(right, key, 2 * turn) % np.uint64(a)) % np.uint64(a)
+            right = (right + _mixed(left, key, 2 * turn + 1) % np.uint64(b)) % np.uint64(b)
+        out[todo] = left * np.uint64(b) + right
+        todo = todo[out[todo] >= n]
+    return out.astype(np.int64)
+
+
+def _mixed(x: np.ndarray, key: int, turn: int) -> np.ndarray:
+    """64 well mixed bits per number, key and round."""
+    z = x + np.uint64((key * 0x9E3779B97F4A7C15 + turn * 0xD1B54A32D192ED03) % (1 << 64))
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def variant_key(seed: int | str, feature: str, repeat: int) -> int:
+    return int(hashlib.md5(f"{seed}|{feature}|{repeat}".encode()).hexdigest()[:15], 16)
+
+
+def permuted_variants(df: DataFrame, features: list[str], id_col: str, repeats: int, seed: int | str) -> DataFrame:
+    """Every row once as it is (feature '', repeat 0) and once per feature and repeat with that feature taken from another row.
+
+    Rows get dense numbers once. Each row sends its value of every feature to one place per repeat; the values meet their rows in one shuffle of
+    (place, variant, value) and one join by place, and the copies of whole rows exist only after that, inside the scoring stage.
+    """
+    kinds = {f.name: f.dataType for f in df.schema}
+    numbered = staged(hash_positions(df, id_col, f"{seed}|places"), "numbered")
+    n = numbered.count()
+    keys = [(i, r, variant_key(seed, f, r)) for i, f in enumerate(features) for r in range(repeats)]
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch["position"].to_numpy()
+            values = [batch[f"v{i}"].to_pylist() for i in range(len(features))]
+            for i, r, key in keys:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(permuted_positions(at, n, key)), pa.array([i] * len(at), pa.int32()), pa.array([r] * len(at), pa.int32()), pa.array(values[i], pa.string())],
+                    names=["position", "i", "r", "value"],
+                )
+
+    texts = numbered.select("position", *[F.col(f).cast("string").alias(f"v{i}") for i, f in enumerate(features)])
+    moves = texts.mapInArrow(places, "position long, i int, r int, value string")
+    dealt = moves.groupBy("position").agg(F.collect_list(F.struct("i", "r", "value")).alias("moves"))  # features x repeats entries each
+    own = F.array(F.struct(F.lit(-1).alias("i"), F.lit(0).alias("r"), F.lit(None).cast("string").alias("value")))
+    rows = numbered.join(dealt, "position").select(*df.columns, F.explode(F.concat(own, "moves")).alias("_m"))
+    changed = {f: F.when(F.col("_m.i") == i, F.col("_m.value").cast(kinds[f])).otherwise(F.col(f)) for i, f in enumerate(features)}
+    named = F.element_at(F.array(F.lit(""), *[F.lit(f) for f in features]), F.col("_m.i") + 2)
+    return rows.select(named.alias("feature"), F.col("_m.r").alias("repeat"), *[changed.get(c, F.col(c)).alias(c) for c in df.columns])
+
+
 def permutation_importance(
     df: DataFrame,
     features: list[str],
@@ -36,15 +101,8 @@ def permutation_importance(
     variants are scored as one table and judged by one grouped count. All rows
     are used unless ``sample`` asks for that many, chosen by a hash of the id.
     """
-    base = staged(df if sample is None else hash_sample(df, sample, id_col, seed), "importance")
-    rest = [c for c in base.columns]
-    variants = [base.select(F.lit("").alias("feature"), F.lit(0).alias("repeat"), *rest)]
-    for f in features:
-        for r in range(repeats):
-            dealt = base.join(shuffled_column(base, f, id_col, f"{seed}|{f}|{r}"), id_col)
-            cols = [F.col("_new").alias(f) if c == f else F.col(c) for c in rest]
-            variants.append(dealt.select(F.lit(f).alias("feature"), F.lit(r).alias("repeat"), *cols))
-    scored = score(reduce(DataFrame.unionByName, variants))
+    base = df if sample is None else hash_sample(df, sample, id_col, seed)
+    scored = score(permuted_variants(base, features, id_col, repeats, seed))
     kappas = staged(
         classification_metrics(confusion_cells(scored, by=["feature", "repeat"]), ["feature", "repeat"], metrics=["qwk"]), "kappas"
     )

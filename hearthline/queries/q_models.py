@@ -8,6 +8,7 @@ from hearthline import config as C
 from hearthline.functions import scalars as S
 from hearthline.models import estimators as M, explain, prep, tuning
 from hearthline.models.histogram_boost import Settings, fit_boosted
+from hearthline.models.ordinal import fit_ordinal
 from hearthline.models.routed import fit_per_cohort, fit_routed, predict_per_cohort
 from hearthline.operators import splits as L
 from hearthline.operators.roles import model_matrix
@@ -374,7 +375,7 @@ def mdl18(spark, d):
         return model.predict_band(fitted.transform(rows)).withColumn("p", S.encode_band(F.col("predicted_band")))
 
     test = frame.where("split = 'test'").select("LMK_KEY", "REPORT_TYPE", "t", *FEATURES)
-    return rounded(explain.permutation_importance(test, FEATURES, "LMK_KEY", score, repeats=2))
+    return rounded(explain.permutation_importance(test, FEATURES, "LMK_KEY", score))
 
 
 @query("mdl19_ordinal_decomposition")
@@ -384,6 +385,23 @@ def mdl19(spark, d):
     return _judged(M.predict_exceedance(test, heads), "predicted_code")
 
 
+@query("mdl19_ordinal_shared_weights")
+def mdl19_shared(spark, d):
+    """One weight vector with K-1 thresholds on the prepared features, judged on later certificates."""
+    train, test = _sides(spark, d)
+    return _judged(fit_ordinal(L.latest_slice(train, C.DATE)).predict(test), "predicted_code")
+
+
+@query("mdl19_monotone_exceedance", f"WITH {_KEPT_CTE} SELECT count(*) AS n, 0::BIGINT AS rises, TRUE AS beats_most_frequent FROM k WHERE split = 'test'")
+def mdl19_monotone(spark, d):
+    """P(class > k) falls with k on every row, and the kappa is above that of the most frequent class, which is 0."""
+    train, test = _sides(spark, d)
+    scored = staged(fit_ordinal(L.latest_slice(train, C.DATE)).predict(test), "exceedance")
+    qwk = classification_metrics(confusion_cells(scored.withColumnsRenamed({"predicted_code": "p"})), metrics=["qwk"]).select("qwk").scalar()
+    rises = F.exists(F.sequence(F.lit(1), F.size("exceed") - 1), lambda k: F.get("exceed", k) > F.get("exceed", k - 1))
+    return scored.agg(F.count(F.lit(1)).alias("n"), F.count_if(rises).alias("rises"), (qwk > 0.2).alias("beats_most_frequent"))
+
+
 @query("cfx1_counterfactual_scores")
 def cfx1(spark, d):
     rows, frame, fitted = _prepared(spark, d)
