@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Row, functions as F
 
 from hearthline.functions import scalars as S
 from hearthline.operators.orderstats import mode_per_group, range_bucket, running_totals
@@ -89,65 +92,89 @@ def fit_prototypes(
     tolerance: float = 1e-6,
     starts: int = 3,
 ) -> Prototypes:
-    """The cheapest of several starts; the first wins a tie. The frame is written once, since every round of every start reads it."""
+    """The cheapest of several starts; the first wins a tie. The frame is written once, since every round reads it."""
     frame = staged(df.select(id_col, *numeric, *categorical), "prototypes")
-    return _cheapest(frame, numeric, categorical, k, id_col, seed, gamma, max_rounds, tolerance, starts)
+    return _cheapest(frame, numeric, categorical, [k], id_col, seed, gamma, max_rounds, tolerance, starts)[k]
 
 
-def _cheapest(df: DataFrame, numeric, categorical, k, id_col, seed=42, gamma=0.5, max_rounds=20, tolerance=1e-6, starts=3) -> Prototypes:
-    seeds = [seed, *(f"{seed}|{i}" for i in range(1, starts))]
-    return min((_lloyd(df, numeric, categorical, k, id_col, s, gamma, max_rounds, tolerance) for s in seeds), key=lambda m: m.cost)
+def _cheapest(
+    df: DataFrame, numeric: list[str], categorical: list[str], ks: Iterable[int], id_col: str,
+    seed: int | str = 42, gamma: float = 0.5, max_rounds: int = 20, tolerance: float = 1e-6, starts: int = 3,
+) -> dict[int, Prototypes]:
+    """The cheapest start of every k. One pass over the rows per round serves every k and every start.
 
-
-def _lloyd(
-    df: DataFrame, numeric: list[str], categorical: list[str], k: int, id_col: str, seed: int | str, gamma: float, max_rounds: int, tolerance: float
-) -> Prototypes:
-    """Lloyd rounds over a mixed frame with standardised numbers.
-
-    The k centres are the only state between rounds and are written into the
-    next plan as literals, so every round is the same flat plan over the input
-    and no lineage builds up.
+    The starting centres are the rows of the smallest seeded hashes. The centres are the only state between rounds, so no lineage builds up.
     """
-    start = hash_sample(df.select(id_col, *numeric, *categorical), k, id_col, seed).collect()
-    centres = Prototypes(
-        tuple(numeric), tuple(categorical),
-        tuple(tuple(float(r[c]) for c in numeric) for r in start),
-        tuple(tuple(r[c] for c in categorical) for r in start), gamma,
-    )
-    path: list[float] = []
+    ks = list(ks)
+    running: dict[tuple[int, int], Prototypes] = {}
+    for i, own_seed in enumerate([seed, *(f"{seed}|{i}" for i in range(1, starts))]):
+        rows = hash_sample(df.select(id_col, *numeric, *categorical), max(ks), id_col, own_seed).collect()
+        for k in ks:
+            means = tuple(tuple(float(r[c]) for c in numeric) for r in rows[:k])
+            running[k, i] = Prototypes(tuple(numeric), tuple(categorical), means, tuple(tuple(r[c] for c in categorical) for r in rows[:k]), gamma)
+    done: dict[tuple[int, int], Prototypes] = {}
     for turn in range(1, max_rounds + 1):
-        assigned = centres.assign(df.select(*numeric, *categorical), cost="_cost")
-        summed = assigned.groupBy("cluster").agg(F.sum("_cost").alias("_cost"), *[F.avg(c).alias(c) for c in numeric])
-        if categorical:
-            summed = summed.join(_modes(assigned, "cluster", categorical), "cluster")
-        found = {r["cluster"]: r for r in summed.collect()}  # at most k rows
-        path.append(sum(r["_cost"] for r in found.values()))
-        means = tuple(
-            tuple(found[i][c] for c in numeric) if i in found else centres.means[i] for i in range(len(start))
-        )
-        kinds = tuple(
-            tuple(found[i][c] for c in categorical) if i in found else centres.modes[i] for i in range(len(start))
-        )
-        settled = len(path) > 1 and path[-2] - path[-1] <= tolerance * abs(path[-2])
-        same = means == centres.means and kinds == centres.modes
-        if settled or same:
+        found = _round(df, list(running.values()))
+        for at, (job, model) in enumerate(list(running.items())):
+            of = {(r["cluster"], r["column"]): r for r in found if r["model"] == at}
+            path = (*model.cost_path, sum(r["total"] for (_, column), r in of.items() if column == ""))
+            means = tuple(
+                tuple(of[i, c]["total"] / of[i, c]["n"] if (i, c) in of else m for c, m in zip(numeric, old)) for i, old in enumerate(model.means)
+            )
+            modes = tuple(tuple(of[i, c]["value"] if (i, c) in of else m for c, m in zip(categorical, old)) for i, old in enumerate(model.modes))
+            settled = len(path) > 1 and path[-2] - path[-1] <= tolerance * abs(path[-2])
+            if settled or turn == max_rounds or (means == model.means and modes == model.modes):
+                done[job] = replace(model, cost=path[-1], rounds=turn, cost_path=path)
+                del running[job]
+            else:
+                running[job] = replace(model, means=means, modes=modes, cost_path=path)
+        if not running:
             break
-        centres = Prototypes(centres.numeric, centres.categorical, means, kinds, gamma)
-    return Prototypes(
-        centres.numeric, centres.categorical, centres.means, centres.modes, gamma, path[-1], turn, tuple(path)
-    )
+    return {k: min((done[k, i] for i in range(starts)), key=lambda m: m.cost) for k in ks}
 
 
-def _modes(df: DataFrame, cluster: str, categorical: list[str]) -> DataFrame:
-    """Most frequent value of every column per cluster, from one long count."""
-    long = df.select(cluster, *categorical).unpivot([cluster], categorical, "column", "value")
-    counts = long.groupBy(cluster, "column", "value").agg(F.count(F.lit(1)).alias("n"))
-    best = counts.groupBy(cluster, "column").agg(
-        F.min_by(F.col("value"), F.struct(-F.col("n"), F.col("value"))).alias("value")
-    )
-    return best.groupBy(cluster).agg(
-        *[F.max(F.when(F.col("column") == c, F.col("value"))).alias(c) for c in categorical]
-    )
+def _round(df: DataFrame, models: list[Prototypes]) -> list[Row]:
+    """Per model, cluster and column: rows, sum of the numbers or most frequent level; column '' holds the cost.
+
+    Tasks add up their batches; equal levels meet by key, and one row per model, cluster and column comes back.
+    """
+    numeric, categorical, gamma = models[0].numeric, models[0].categorical, models[0].gamma
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = np.stack([batch[c].to_numpy(zero_copy_only=False) for c in numeric], axis=1) if numeric else np.zeros((batch.num_rows, 0))
+            levels = [batch[c].dictionary_encode() for c in categorical]
+            codes = [d.indices.to_numpy() for d in levels]
+            names = [d.dictionary.to_pylist() for d in levels]
+            out: list[tuple] = []
+            for at, m in enumerate(models):
+                cost = np.stack([((x - np.array(mean)) ** 2).sum(axis=1) for mean in m.means], axis=1)
+                for j, (code, name) in enumerate(zip(codes, names)):
+                    place = {v: i for i, v in enumerate(name)}
+                    cost += gamma * (code[:, None] != np.array([place.get(modes[j], -1) for modes in m.modes]))
+                own = cost.argmin(axis=1)
+                k = len(m.means)
+                n = np.bincount(own, minlength=k)
+                sums = [("", cost[np.arange(len(own)), own])] + [(c, x[:, i]) for i, c in enumerate(numeric)]
+                for column, values in sums:
+                    total = np.bincount(own, weights=values, minlength=k)
+                    out += [(at, i, column, None, int(n[i]), float(total[i])) for i in np.flatnonzero(n)]
+                for c, code, name in zip(categorical, codes, names):
+                    count = np.bincount(own * len(name) + code, minlength=k * len(name))
+                    out += [(at, int(i // len(name)), c, name[i % len(name)], int(count[i]), 0.0) for i in np.flatnonzero(count)]
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out), _SUM_TYPES)], names=_SUM_NAMES)
+
+    sums = df.select(*numeric, *categorical).mapInArrow(add_up, "model int, cluster int, column string, value string, n long, total double")
+    added = sums.groupBy("model", "cluster", "column", "value").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    return added.groupBy("model", "cluster", "column").agg(
+        F.min_by(F.col("value"), F.struct(-F.col("n"), F.col("value"))).alias("value"), F.sum("n").alias("n"), F.sum("total").alias("total")
+    ).collect()
+
+
+_SUM_NAMES = ["model", "cluster", "column", "value", "n", "total"]
+_SUM_TYPES = [pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.float64()]
 
 
 # --- mixed-type distance without pairs ------------------------------------------------------------
@@ -334,14 +361,11 @@ def standardised_profile(df: DataFrame, cluster: str, numeric: list[str]) -> Dat
 def sweep(
     df: DataFrame, numeric: list[str], categorical: list[str], id_col: str, ks: range = range(2, 8), **fit
 ) -> DataFrame:
-    """Cost, silhouette and separation per k. The frame is staged once because every fit
-    reads it many times; only the finished row of each k comes back.
-    """
+    """Cost, silhouette and separation per k. All fits share their passes over the staged frame; only the finished row of each k comes back."""
     df = staged(df.select(id_col, *numeric, *categorical), "sweep")
     rows = []
-    for k in ks:
-        model = _cheapest(df, numeric, categorical, k, id_col, **fit)
-        labelled = model.assign(df)
+    for k, model in _cheapest(df, numeric, categorical, ks, id_col, **fit).items():
+        labelled = staged(model.assign(df), "labelled")
         clusters = list(range(k))
         distances = group_distances(labelled, id_col, "cluster", numeric, categorical, clusters)
         width = silhouette(distances, id_col, "cluster", clusters).agg(F.avg("silhouette").alias("silhouette")).first()

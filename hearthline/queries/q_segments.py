@@ -110,7 +110,13 @@ def clu5(spark, d):
 @query("clu6_k_sweep")
 def clu6(spark, d):
     df = G.standardise(_frame(spark, d), NUM)
-    return G.sweep(df, NUM, CAT, "p_partkey", range(2, 4), max_rounds=3, starts=1)
+    return G.sweep(df, NUM, CAT, "p_partkey")
+
+
+@query("clu6_best_k")
+def clu6_best(spark, d):
+    """The k of 2 to 7 with the widest silhouette."""
+    return rounded(G.best_k(clu6(spark, d)))
 
 
 @query("clu7_segment_profile", rsql(
