@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from hearthline import config as C
 from hearthline.functions import scalars as S
 from hearthline.models import estimators as M, explain, prep, tuning
-from hearthline.models.histogram_boost import Settings, fit_boosted
+from hearthline.models.histogram_boost import Settings, feature_edges, fit_boosted
 from hearthline.models.ordinal import fit_ordinal
 from hearthline.models.routed import fit_per_cohort, fit_routed, predict_per_cohort
 from hearthline.operators import splits as L
@@ -319,6 +319,23 @@ def mdl14(spark, d):
     return rounded(tuning.search(_folded(spark, d, 2), _tree_config, draws, k=2))
 
 
+@query("mdl14_parzen_search")
+def mdl14_parzen(spark, d):
+    """Eight sequential trials of the histogram booster on three folds of the whole feature matrix."""
+    rows, features = _matrix(spark, d)
+    train = rows.where("split = 'train'").withColumn("t", S.encode_band(F.col("label_band"))).withColumn("fold", L.group_fold("LMK_KEY", "LMK_KEY", 3))
+    edges = feature_edges(train, features, 64)
+
+    def config(leaves, rate, l2):
+        def run(fit, valid):
+            model = fit_boosted(fit, features, "label_score", settings=Settings(rounds=2, leaves=leaves, rate=rate, l2=l2, bins=64), edges=edges)
+            return model.predict(valid, ["t"]).withColumn("p", S.score_to_code(F.col("prediction")))
+
+        return run
+
+    return rounded(tuning.parzen_search(train, config, {"leaves": (3, 31, "log-int"), "rate": (0.1, 1.0, "log"), "l2": (0.1, 50.0, "log")}))
+
+
 @query("mdl15_cross_validation")
 def mdl15(spark, d):
     runs = tuning.cross_validate(_folded(spark, d, 3), {"depth-3": _tree_config(3), "depth-5": _tree_config(5)}, k=3)
