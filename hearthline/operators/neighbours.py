@@ -37,6 +37,30 @@ def _best(unit: np.ndarray, corpus: np.ndarray, k: int) -> tuple[np.ndarray, np.
     return best, found
 
 
+def block_products(left: DataFrame, right: DataFrame, blocks: list[str], k: int) -> DataFrame:
+    """(query, neighbour, similarity) of the k best rows of ``right`` per row of ``left`` in each pair of blocks; both have ``id`` and ``vec``."""
+
+    def multiply(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"query": left["id"][:0], "neighbour": right["id"][:0], "similarity": np.empty(0)})]
+        if len(left) and len(right):
+            right = right.sort_values("id")
+            keys, rows = right["id"].to_numpy(), _unit_rows(right["vec"])
+            for at in range(0, len(left), _QUERIES):
+                part = left.iloc[at : at + _QUERIES]
+                sims, places = _best(_unit_rows(part["vec"]), rows, k)
+                out.append(pd.DataFrame({"query": np.repeat(part["id"].to_numpy(), sims.shape[1]), "neighbour": keys[places.ravel()], "similarity": sims.ravel()}))
+        return pd.concat(out[1:] or out, ignore_index=True)
+
+    schema = StructType().add("query", left.schema["id"].dataType).add("neighbour", right.schema["id"].dataType).add("similarity", DoubleType())
+    return left.groupBy(*blocks).cogroup(right.groupBy(*blocks)).applyInPandas(multiply, schema)
+
+
+def best_of(found: DataFrame, k: int) -> DataFrame:
+    """The k best neighbours per query with their ``rank``, ties by the smaller key."""
+    order = Window.partitionBy("query").orderBy(F.desc("similarity"), F.asc("neighbour"))
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
 def nearest_neighbours(
     queries: DataFrame, corpus: DataFrame, id_col: str, vec_col: str, k: int = 15, *, block_bytes: int = BLOCK_BYTES, block_rows: int | None = None
 ) -> DataFrame:
@@ -61,19 +85,5 @@ def nearest_neighbours(
         own = df.withColumn(mine, F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
         return own.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
 
-    def multiply(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"query": left["id"][:0], "neighbour": right["id"][:0], "similarity": np.empty(0)})]
-        if len(left) and len(right):
-            right = right.sort_values("id")
-            keys, rows = right["id"].to_numpy(), _unit_rows(right["vec"])
-            for at in range(0, len(left), _QUERIES):
-                part = left.iloc[at : at + _QUERIES]
-                sims, places = _best(_unit_rows(part["vec"]), rows, k)
-                out.append(pd.DataFrame({"query": np.repeat(part["id"].to_numpy(), sims.shape[1]), "neighbour": keys[places.ravel()], "similarity": sims.ravel()}))
-        return pd.concat(out[1:] or out, ignore_index=True)
-
-    schema = StructType().add("query", q.schema["id"].dataType).add("neighbour", c.schema["id"].dataType).add("similarity", DoubleType())
     left, right = blocked(q, "qb", q_blocks, "cb", c_blocks), blocked(c, "cb", c_blocks, "qb", q_blocks)
-    partial = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInPandas(multiply, schema)
-    order = Window.partitionBy("query").orderBy(F.desc("similarity"), F.asc("neighbour"))
-    return partial.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return best_of(block_products(left, right, ["qb", "cb"], k), k)

@@ -8,6 +8,7 @@ from hearthline.functions import scalars as S
 from hearthline.functions.hashing import uniform
 from hearthline.operators import rules as U
 from hearthline.operators.neighbours import nearest_neighbours
+from hearthline.operators.vector_index import build_index, search
 from hearthline.operators.summary import baskets
 from hearthline.queries.q_summary import NAME_SQL
 from hearthline.queries.registry import query, rounded, rsql
@@ -104,6 +105,34 @@ def jn5_text(spark, d):
     return rounded(nearest_neighbours(e.where("held"), e.where("NOT held"), "key", "embedding", 15, block_bytes=256 << 10))
 
 
+# The queries are every vector whose id is divisible by 50, against all vectors, themselves included.
+_ASKED = """e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+ sim AS (SELECT q.vec_id AS query, c.vec_id AS neighbour, round(list_cosine_similarity(q.v, c.v), 9) AS s FROM e q JOIN e c ON q.vec_id % 50 = 0),
+ nn AS (SELECT query, neighbour, s, row_number() OVER (PARTITION BY query ORDER BY s DESC, neighbour) AS rn FROM sim QUALIFY rn <= 15)"""
+
+
+@query("jn5_index_exact", rsql(f"WITH {_ASKED} SELECT query, neighbour, CAST(rn AS INT) AS rank, s AS similarity FROM nn", "similarity"))
+def jn5_index_exact(spark, d):
+    """The index with every list visited that can hold a better row."""
+    e = table(spark, d, "embeddings")
+    return rounded(search(build_index(e, "vec_id", "embedding"), e.where("vec_id % 50 = 0"), "vec_id", "embedding", 15, exact=True))
+
+
+@query("jn5_index_recall", f"WITH {_ASKED} SELECT count(DISTINCT query) AS queries, count(*) AS found, TRUE AS recall_reached, CAST(0 AS BIGINT) AS better_than_exact FROM nn")
+def jn5_index_recall(spark, d):
+    """Probed lists only, measured against the exact join: at least 0.9 of its pairs."""
+    e = table(spark, d, "embeddings")
+    asked = e.where("vec_id % 50 = 0")
+    probed = search(build_index(e, "vec_id", "embedding"), asked, "vec_id", "embedding", 15)
+    exact = nearest_neighbours(asked, e, "vec_id", "embedding", 15).select("query", "neighbour", F.col("rank").alias("at"), F.lit(1).alias("hit"))
+    both = probed.join(exact, ["query", "neighbour"], "full")
+    return both.agg(
+        F.count_distinct("query").alias("queries"), F.count("rank").alias("found"),
+        (F.count_if(F.col("rank").isNotNull() & F.col("hit").isNotNull()) >= 0.9 * F.count("hit")).alias("recall_reached"),
+        F.count_if(F.col("rank") > F.col("at")).alias("better_than_exact"),
+    )
+
+
 # Every vector stands for the certificate of the same number; its basket is that certificate's measures.
 _REC_BASE = f"{rec_cte()}, bk AS (SELECT DISTINCT LMK_KEY AS k, {NAME_SQL} AS item FROM rec WHERE IMPROVEMENT_SUMMARY_TEXT IS NOT NULL), {_KNN}"
 _VOTES = f"{_REC_BASE}, vo AS (SELECT query, item, count(*) AS votes FROM nn JOIN bk ON bk.k = nn.neighbour GROUP BY 1, 2), top5 AS (SELECT query, item, votes, row_number() OVER (PARTITION BY query ORDER BY votes DESC, item) AS rank FROM vo QUALIFY rank <= 5)"
