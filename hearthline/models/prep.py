@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler
@@ -13,9 +12,10 @@ from pyspark.sql.types import NumericType
 
 from hearthline import config as C
 from hearthline.functions.hashing import hash32
-from hearthline.operators.orderstats import exact_percentiles, running_totals
+from hearthline.operators.orderstats import PER_RANGE, bucket_count, exact_percentiles, place_among, running_totals
 from hearthline.operators.repair import fill_missing_level, numeric_columns
 from hearthline.operators.skew import attach_by_key
+from hearthline.session import staged
 from hearthline.operators.summary import cardinalities
 
 LOW_CARD = 25
@@ -103,22 +103,21 @@ def fit_levels(df: DataFrame, train: Column, cols: list[str], min_count: int = R
     return Levels(mode, kept, rare)
 
 
-def level_codes(df: DataFrame, col: str, buckets: int = 64) -> DataFrame:
+def level_codes(df: DataFrame, col: str, buckets: int | None = None) -> DataFrame:
     """(level, code): alphabetical rank of every distinct level.
 
-    A few levels picked by hash cut the alphabet into ranges that are ranked
-    apart, so even very many levels never meet in one task.
+    Levels picked by hash cut the alphabet into ranges that are ranked apart, about ``PER_RANGE`` levels in each, or ``buckets`` ranges,
+    so even very many levels never meet in one task. The cuts stay in the plan; the driver sees their number only.
     """
-    levels = df.where(F.col(col).isNotNull()).select(F.col(col).alias("level")).distinct()
-    picked = levels.orderBy(hash32("edges", F.col("level")), "level").limit(buckets)
-    edges = [r["level"] for r in picked.collect()]
-    at_or_above = [(F.col("level") >= e).cast("int") for e in sorted(edges)]
-    bucketed = levels.withColumn("_bucket", reduce(lambda a, b: a + b, at_or_above, F.lit(0))).withColumn(
-        "one", F.lit(1).cast("bigint")
-    )
-    return running_totals(bucketed, ["level"], [], ["one"], "_bucket").select(
-        "level", F.col("one_before").cast("int").alias("code")
-    )
+    levels = staged(df.where(F.col(col).isNotNull()).select(F.col(col).alias("level")).distinct().withColumn("one", F.lit(1).cast("bigint")), "levels")
+    total = levels.count()
+    wanted = min(buckets or -(-total // PER_RANGE), bucket_count(levels, buckets), total)
+    if wanted <= 1:
+        return running_totals(levels, ["level"], [], ["one"]).select("level", F.col("one_before").cast("int").alias("code"))
+    # a share of the levels by hash: about ``wanted`` of them, by chance a few more
+    cuts = levels.where(hash32("edges", F.col("level")) < int((1 << 32) * wanted / total)).agg(F.sort_array(F.collect_list("level"))).scalar()
+    bucketed = levels.withColumn("_cuts", cuts).withColumn("_bucket", place_among(F.col("_cuts"), F.col("level"), 4 * wanted + 64)).drop("_cuts")
+    return running_totals(bucketed, ["level"], [], ["one"], "_bucket").select("level", F.col("one_before").cast("int").alias("code"))
 
 
 def ordinal_encode(df: DataFrame, train: Column, col: str, name: str | None = None) -> DataFrame:

@@ -7,11 +7,14 @@ totals (at most ``bucket_count`` per group) are accumulated across ranges.
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from hearthline.functions.hashing import hash32
 from hearthline.operators.skew import null_safe
+from hearthline.session import staged
+
+
+PER_RANGE = 1 << 16
 
 
 def bucket_count(df: DataFrame, buckets: int | None = None) -> int:
@@ -19,17 +22,44 @@ def bucket_count(df: DataFrame, buckets: int | None = None) -> int:
     return buckets or max(64, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def range_bucket(df: DataFrame, counts: DataFrame, value: str, buckets: int | None = None) -> DataFrame:
-    """Split the distinct values at approximate quantiles; the cut points only steer balance."""
-    buckets = bucket_count(df, buckets)
-    probs = [i / buckets for i in range(1, buckets)]
-    cuts = df.approxQuantile(value, probs, 1.0 / (2 * buckets))
-    inner = sorted({float(c) for c in cuts})
-    if not inner:
-        return counts.withColumn("_bucket", F.lit(0))
-    splits = [-float("inf"), *inner, float("inf")]
-    cut = Bucketizer(splits=splits, inputCol=value, outputCol="_bucket", handleInvalid="keep")
-    return cut.transform(counts).withColumn("_bucket", F.col("_bucket").cast("int"))
+def place_among(cuts: Column, value: Column, most: int) -> Column:
+    """How many of the ascending ``cuts``, at most ``most``, are not above ``value``; by halving steps."""
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(max(most, 1).bit_length()))])
+    return F.aggregate(
+        steps, F.lit(0), lambda at, step: at + F.when(F.coalesce(F.get(cuts, at + step - 1) <= value, F.lit(False)), step).otherwise(F.lit(0))
+    )
+
+
+def range_bucket(counts: DataFrame, value: str, groups: list[str], buckets: int | None = None) -> tuple[DataFrame, str | None]:
+    """(``counts`` written once, name of its range column): ``counts`` has one row per group and distinct value.
+
+    A group that holds more values than a range is cut at quantiles of its own, from one mergeable sketch per group. A range has ``PER_RANGE``
+    values, or more in a table of more than ``buckets`` such ranges (given ``buckets``, just the table's share). So fewer than ``buckets``
+    groups are cut, at fewer than ``buckets`` points in all, which are broadcast. Without such a group there are no ranges (None).
+    """
+    counts = staged(counts, "counts")
+    total, ranges = counts.count(), bucket_count(counts, buckets)
+    per_range = max(1 if buckets else PER_RANGE, -(-total // ranges))
+    if total <= per_range:
+        return counts, None
+    if not groups:
+        parts = -(-total // per_range)
+        cuts = counts.agg(F.percentile_approx(value, [i / parts for i in range(1, parts)], max(10_000, 4 * parts))).scalar()
+        cut = counts.withColumn("_cuts", cuts)  # a column: lambdas take no subquery
+        return cut.withColumn("_bucket", place_among(F.col("_cuts"), F.col(value), parts)).drop("_cuts"), "_bucket"
+    sizes = counts.groupBy(*groups).agg(F.count(F.lit(1)).alias("_values"))
+    large = staged(sizes.where(F.col("_values") > per_range), "large")
+    if not large.count():
+        return counts, None
+    sketch = F.percentile_approx(value, [i / ranges for i in range(1, ranges)], max(10_000, 4 * ranges)).alias("_all")
+    own = counts.join(F.broadcast(large), null_safe(counts, large, groups))
+    fine = own.groupBy(*[counts[g] for g in groups], "_values").agg(sketch)
+    parts = F.ceil(F.col("_values") / per_range).cast("int")
+    picked = F.transform(F.sequence(F.lit(1), parts - 1), lambda i: F.get("_all", F.floor(i * ranges / parts).cast("int") - 1))
+    cuts = staged(fine.select(*groups, picked.alias("_cuts")), "cuts")
+    joined = counts.join(F.broadcast(cuts), null_safe(counts, cuts, groups), "left")
+    place = F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(place_among(F.col("_cuts"), F.col(value), ranges))
+    return joined.select(*[counts[c] for c in counts.columns], place.alias("_bucket")), "_bucket"
 
 
 def running_totals(
@@ -59,22 +89,32 @@ def running_totals(
 
 
 def value_positions(
-    df: DataFrame, value: str, groups: list[str] | None = None, *, bounded: bool = False, buckets: int | None = None
+    df: DataFrame,
+    value: str,
+    groups: list[str] | None = None,
+    *,
+    bounded: bool = False,
+    buckets: int | None = None,
+    weight: str | None = None,
 ) -> DataFrame:
     """One row per group and distinct value: ``n``, rows ``before`` it, rows ``total``.
 
     ``bounded`` says that the value comes from a small fixed domain (a score, a
-    day); then the distinct values need no ranges.
+    day); then the distinct values need no ranges. A row counts ``weight`` times
+    where that column is given.
     """
     groups = groups or []
-    base = df.select(*groups, F.col(value).cast("double").alias(value))
+    rows = F.lit(1) if weight is None else F.col(weight)
+    base = df.select(*groups, F.col(value).cast("double").alias(value), rows.cast("bigint").alias("_w"))
     # nulls count as 0 and go afterwards: a null filter would be pushed into the
     # input and compute the value's expression a second time
-    counts = base.groupBy(*groups, value).agg(F.count(value).alias("n")).where(F.col("n") > 0)
+    seen = F.sum(F.when(F.col(value).isNotNull(), F.col("_w")).otherwise(F.lit(0)))
+    counts = base.groupBy(*groups, value).agg(seen.alias("n")).where(F.col("n") > 0)
     if bounded:
         placed = running_totals(counts, [value], groups, ["n"])
     else:
-        placed = running_totals(range_bucket(base, counts, value, buckets), [value], groups, ["n"], "_bucket")
+        counts, ranges = range_bucket(counts, value, groups, buckets)
+        placed = running_totals(counts, [value], groups, ["n"], ranges)
     return placed.withColumnsRenamed({"n_before": "before", "n_total": "total"})
 
 
@@ -100,16 +140,17 @@ def exact_percentiles(
     *,
     bounded: bool = False,
     buckets: int | None = None,
+    weight: str | None = None,
 ) -> DataFrame:
-    """Linear-interpolation percentiles per group, named by ``points``. Nulls are ignored."""
+    """Linear-interpolation percentiles per group, named by ``points``. Nulls are ignored; a row counts ``weight`` times where given."""
     groups = groups or []
     if bounded:
         names = list(points)
-        exact = F.percentile(F.col(value).cast("double"), F.array(*[F.lit(points[k]) for k in names]))
+        exact = F.percentile(F.col(value).cast("double"), F.array(*[F.lit(points[k]) for k in names]), F.col(weight) if weight else 1)
         return df.groupBy(*groups).agg(exact.alias("_p")).select(
             *groups, *[F.col("_p")[i].alias(k) for i, k in enumerate(names)]
         )
-    placed = value_positions(df, value, groups, buckets=buckets)
+    placed = value_positions(df, value, groups, buckets=buckets, weight=weight)
     first, last = F.col("before"), F.col("before") + F.col("n") - 1
 
     def at(position: Column) -> Column:

@@ -210,7 +210,8 @@ def group_distances(
         counts = numbers.groupBy("column", "value").agg(*[F.expr(e) for e in ["count(1) AS rows", *in_cluster]])
         counts = counts.selectExpr("*", *[f"c{i} * value AS s{i}" for i in ks])
         measures = [f"{m}{i}" for i in ks for m in "cs"]
-        placed = running_totals(range_bucket(numbers, counts, "value", buckets), ["value"], ["column"], measures, "_bucket")
+        counts, ranges = range_bucket(counts, "value", ["column"], buckets)
+        placed = running_totals(counts, ["value"], ["column"], measures, ranges)
         span = df.selectExpr(*[f"max({c}) - min({c}) AS {c}" for c in numeric]).first()
         width = "CASE column " + " ".join(f"WHEN '{c}' THEN {float(span[c]) or 1.0!r}D" for c in numeric) + " END"
         sums = ", ".join(

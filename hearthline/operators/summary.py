@@ -11,6 +11,7 @@ from hearthline.functions import scalars as S
 from hearthline.operators.orderstats import exact_percentiles, mode_per_group
 from hearthline.operators.repair import null_rates, numeric_columns
 from hearthline.operators.skew import null_safe
+from hearthline.session import staged
 
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 
@@ -42,10 +43,12 @@ def measure_summary(
     recs: DataFrame, measure: str = "IMPROVEMENT_SUMMARY_TEXT", cost: str = "INDICATIVE_COST"
 ) -> DataFrame:
     """Count and cost statistics per measure; an unnamed measure is a group too."""
-    rows = with_cost(recs.select(F.col(measure).alias("measure"), F.col(cost).alias("_cost")), "_cost")
-    base = rows.groupBy("measure").agg(F.count(F.lit(1)).alias("count"), F.avg("mid").alias("cost_mid_mean"))
-    long = rows.unpivot(["measure"], ["low", "high", "mid"], "part", "value")
-    points = exact_percentiles(long, "value", {"median": 0.5}, ["measure", "part"])
+    texts = recs.groupBy(F.col(measure).alias("measure"), F.col(cost).alias("_cost")).agg(F.count(F.lit(1)).alias("n"))
+    rows = staged(with_cost(texts, "_cost"), "costs")  # each different text is parsed once
+    priced = F.when(F.col("mid").isNotNull(), F.col("n"))
+    base = rows.groupBy("measure").agg(F.sum("n").alias("count"), F.try_divide(F.sum(F.col("mid") * F.col("n")), F.sum(priced)).alias("cost_mid_mean"))
+    long = rows.unpivot(["measure", "n"], ["low", "high", "mid"], "part", "value")
+    points = exact_percentiles(long, "value", {"median": 0.5}, ["measure", "part"], weight="n")
     medians = points.groupBy("measure").agg(
         *[F.max(F.when(F.col("part") == p, F.col("median"))).alias(f"cost_{p}_median") for p in ("low", "high", "mid")]
     )
