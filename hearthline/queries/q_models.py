@@ -238,6 +238,28 @@ def mdl8(spark, d):
     return rounded(regression_metrics(scored, "label_score", "prediction").withColumn("trees", F.lit(model.getNumTrees)))
 
 
+_HELD_SQL = f"""{cert_cte()}, t AS (SELECT CAST(INSPECTION_DATE AS DATE) AS day, CURRENT_ENERGY_EFFICIENCY AS y, {_TRAIN_SQL} AS train FROM cert WHERE CURRENT_ENERGY_RATING IN {C.BANDS}),
+ r AS (SELECT *, percent_rank() OVER (PARTITION BY coalesce(train, FALSE) ORDER BY day) > 0.85::DOUBLE AS late FROM t),
+ m AS (SELECT avg(y)::DOUBLE AS m FROM r WHERE train AND NOT late)"""
+
+
+@query("mdl8_held_out_stopping", rsql(
+    f"WITH {_HELD_SQL} SELECT count(*) FILTER (train AND NOT late) AS learnt, count(*) FILTER (train AND late) AS held, count(*) FILTER (train IS NOT TRUE) AS tested, "
+    "avg((y - m) * (y - m)) FILTER (train IS NOT TRUE) AS mean_error, TRUE AS beats_mean, TRUE AS best_round_kept FROM r, m", "mean_error"))
+def mdl8_held_out(spark, d):
+    """The newest slice of the training rows stops the boosting; the kept rounds are judged on later certificates beside the mean of the rows learnt from."""
+    rows, features = _matrix(spark, d)
+    train = L.latest_slice(rows.where("split = 'train'"), C.DATE)
+    model = fit_boosted(train, features, "label_score", settings=Settings(rounds=12, leaves=15, rate=0.5, patience=3), held="is_validation")
+    scored = model.predict(rows.where("split = 'test'"), ["label_score"])
+    sides = train.agg(F.count_if(~F.col("is_validation")).alias("learnt"), F.count_if("is_validation").alias("held"))
+    y, mean = F.col("label_score"), F.lit(float(model.base[0]))
+    error, constant = F.avg((y - F.col("prediction")) ** 2), F.avg((y - mean) ** 2)
+    judged = scored.agg(F.count(F.lit(1)).alias("tested"), constant.alias("mean_error"), (error < constant).alias("beats_mean"))
+    kept = model.losses[len(model.trees)] == min(model.losses)
+    return rounded(judged.withColumns({c: sides.select(c).scalar() for c in sides.columns}).withColumn("best_round_kept", F.lit(kept)))
+
+
 def _routed(rows):
     return fit_routed(rows.where("split = 'train'"), trees=8, maxDepth=4, min_special=100)
 
