@@ -1,7 +1,9 @@
 """WARC archives with revisit records.
 
-Headers (page id, payload digest and size) are grouped by digest; of equal payloads of at least ``MIN_REVISIT`` bytes the largest page
-id stays a response, and the others become revisit records that name it. Every record is written with fresh headers as a gzip member
+Headers (page id and payload digest) are grouped by digest; of equal payloads of at least ``MIN_REVISIT`` bytes the largest page
+id stays a response, and the others become revisit records that name it. Bodies stay where they lie unless their digest may be shared
+(a bit map of the shared digests); of those, only bodies that may be the original's (a second bit map) travel to the join with the
+originals, and a digest that many pages share is answered by a broadcast of few rows. Every record is written with fresh headers as a gzip member
 of its own; tasks write their own archives of at most about ``roll_bytes`` each to a folder that driver and executors share, and only
 archives in the committed manifest are read, so a lost or repeated attempt leaves nothing behind in the results.
 
@@ -25,7 +27,8 @@ import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hearthline.llm.common import staged
+from hearthline.llm.common import marked, staged, thinned
+from hearthline.operators.skew import attach_by_key
 from hearthline.session import scratch_path
 
 MIN_REVISIT = 1000
@@ -36,7 +39,7 @@ SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:page").int >> 64 << 64
 
 
 def resolve(pages: DataFrame, min_bytes: int = MIN_REVISIT) -> DataFrame:
-    """page_id, url, html, payload_bytes, payload_digest, refers_to (null: response) of every row."""
+    """page_id, url, html, payload_bytes, payload_digest, refers_to (null: response) of every row; html may be null for a revisit."""
     body = F.coalesce(F.col("html").cast("string"), F.lit(""))
     own = pages.select(
         F.col("page_id").cast("long").alias("page_id"),
@@ -45,16 +48,20 @@ def resolve(pages: DataFrame, min_bytes: int = MIN_REVISIT) -> DataFrame:
         F.octet_length(body).cast("long").alias("payload_bytes"),
         F.sha1(body.cast("binary")).alias("payload_digest"),
     )
-    keepers = (
-        own.where(F.col("payload_bytes") >= min_bytes)
-        .groupBy("payload_digest")
-        .agg(F.max("page_id").alias("keeper"), F.count("*").alias("n"))
-        .where("n > 1 AND keeper IS NOT NULL")
-        .drop("n")
-    )
-    return own.join(keepers, "payload_digest", "left").select(
-        *own.columns, F.when(~F.col("page_id").eqNullSafe(F.col("keeper")), F.col("keeper")).alias("refers_to")
-    )
+    heads = own.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n"))
+    heads = staged(heads.withColumn("__digest", F.xxhash64("payload_digest")), "heads")
+    shared = heads.where("n > 1").select("__digest")
+    # every digest that the map of shared ones lets through, also the few that it lets through by chance: their pages are their own originals
+    originals = staged(thinned(heads, shared, "__digest"), "originals").drop("__digest")
+    keepers = originals.select(F.xxhash64("payload_digest", "keeper").alias("__page"))
+    seen = marked(own.withColumn("__digest", F.xxhash64("payload_digest")), shared, "__digest", "__shared")
+    seen = seen.withColumn("__shared", F.col("__shared") & (F.col("payload_bytes") >= min_bytes))
+    alone = seen.where("NOT __shared").select(*own.columns, F.lit(None).cast("long").alias("refers_to"))
+    met = marked(seen.where("__shared").withColumn("__page", F.xxhash64("payload_digest", "page_id")), keepers, "__page", "__original")
+    met = met.select(*[F.when(F.col("__original"), F.col(c)).alias(c) if c == "html" else F.col(c) for c in own.columns])
+    named = attach_by_key(met, originals, ["payload_digest"], "n")
+    other = F.when(~F.col("page_id").eqNullSafe(F.col("keeper")), F.col("keeper"))
+    return alone.unionByName(named.select(*own.columns, other.alias("refers_to")))
 
 
 def record_id(page_id: int | None) -> str:
@@ -69,10 +76,9 @@ def page_of(urn: str) -> int:
 
 def record(row: dict, date: str) -> bytes:
     """One record: a response with its payload, or a revisit with the HTTP header alone."""
-    payload = row["html"].encode()
     revisit = row["refers_to"] is not None
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    block = http if revisit else http + payload
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\nContent-Length: {row['payload_bytes']}\r\n\r\n".encode()
+    block = http if revisit else http + row["html"].encode()
     head = {
         "WARC-Type": "revisit" if revisit else "response",
         "WARC-Record-ID": record_id(row["page_id"]),
