@@ -1,8 +1,9 @@
 """Personal data: rule spans, and what a character-level bidirectional LSTM with CRF transitions adds to them.
 
 Every span of the four kinds holds a digit or an at sign, so a text without either has none. In the others, tiles of 32 characters that
-hold one, and their neighbours, are tagged in windows of 64 characters around the tile; windows overlap, and a character takes its tag
-from the window in whose middle it is. The tags of a text are then read as spans over tile borders. A span of the tagger that overlaps
+hold one, and their neighbours, are read in windows of 64 characters around the tile, so that two windows cover a character. Their
+emissions are averaged, and one Viterbi decoding with the CRF's transitions runs over each run of neighbouring tiles, whatever windows it
+crosses; runs of more than 64 tiles are decoded in pieces that overlap by eight tiles, of which the outer four on each side are dropped. A span of the tagger that overlaps
 no rule span and passes the checks of its kind is added; rule spans always stay.
 
 The tagger is trained on at most ``fit_windows`` windows of the documents, chosen by a hash, with rule spans as labels. Without any
@@ -18,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from hearthline.llm.chain_crf import viterbi
 from hearthline.llm.common import map_arrow, texts_of
 from hearthline.llm.pii_rules import KINDS, Span, base_spans, plausible
 from hearthline.llm.tagger import Tagger, symbols
@@ -25,6 +27,7 @@ from hearthline.llm.textblocks import blocks, byte_table
 
 TILE, WINDOW = 32, 64
 EDGE = (WINDOW - TILE) // 2
+PIECE, MARGIN = 64, 4  # tiles
 TRIGGER = byte_table(r"[0-9@]")
 
 
@@ -45,6 +48,13 @@ def cut_windows(values: np.ndarray, tile: np.ndarray, pad: int = 0) -> np.ndarra
     return wide[tile[:, None] * TILE + np.arange(WINDOW)]
 
 
+def windows_of(codes: np.ndarray, first: int, end: int) -> np.ndarray:
+    """The windows of neighbouring tiles, from the part of the text around them alone."""
+    left = min(first, 1)
+    part = codes[(first - left) * TILE : end * TILE + WINDOW]
+    return cut_windows(symbols(part), np.arange(left, left + end - first))
+
+
 def tags_of(spans: list[Span], n: int) -> np.ndarray:
     tags = np.zeros(n, dtype=np.int8)
     for kind, start, end in reversed(spans):
@@ -100,25 +110,59 @@ def fit_tagger(docs: DataFrame, fit_windows: int = 2000, **settings) -> Tagger |
     return Tagger().fit(x, y, **settings).single()
 
 
+def pieces(tile: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """(first, end, first kept, kept end) of the stretches of tiles to decode: whole runs, or overlapping parts of long ones."""
+    if not len(tile):
+        return []
+    ends = np.flatnonzero(np.diff(tile) > 1) + 1
+    out = []
+    for run in np.split(tile, ends):
+        low, high = int(run[0]), int(run[-1]) + 1
+        for a in range(low, high, PIECE):
+            b = min(a + PIECE, high)
+            out.append((max(low, a - MARGIN), min(high, b + MARGIN), a, b))
+    return out
+
+
+def joined_emissions(emit: np.ndarray) -> np.ndarray:
+    """Emissions per character of neighbouring tiles from those of their windows (tiles, WINDOW, tags): the mean over the windows that cover it."""
+    total = np.zeros((len(emit) + 1, TILE, emit.shape[2]), dtype=emit.dtype)
+    total[:-1] += emit[:, :TILE]
+    total[1:] += emit[:, TILE:]
+    total[1:-1] /= 2
+    return total.reshape(-1, emit.shape[2])[EDGE : EDGE + TILE * len(emit)]
+
+
+def global_tags(codes: list[np.ndarray], tagger: Tagger, rows: int = 2048) -> list[np.ndarray]:
+    """Tags of the characters of each text; about ``rows`` windows are in memory at a time."""
+    tags = [np.zeros(len(c) + WINDOW, dtype=np.int8) for c in codes]
+    # longest first, in characters of the text: the decoder asks for falling lengths
+    todo = sorted(((min(p[1] * TILE, len(c)) - p[0] * TILE, d, p) for d, c in enumerate(codes) for p in pieces(tiles(c))), key=lambda t: -t[0])
+    at = 0
+    while at < len(todo):
+        to = at + 1
+        while to < len(todo) and (to + 1 - at) * todo[at][0] <= rows * TILE:
+            to += 1
+        own, at = todo[at:to], to
+        cut = [windows_of(codes[d], p[0], p[1]) for _, d, p in own]
+        emit = np.split(tagger.emissions(np.concatenate(cut)), np.cumsum([len(c) for c in cut])[:-1])
+        size = np.array([n for n, _, _ in own])
+        wide = np.zeros((len(own), int(size[0]), emit[0].shape[2]), dtype=emit[0].dtype)
+        for row, (e, n) in enumerate(zip(emit, size, strict=True)):
+            wide[row, :n] = joined_emissions(e)[:n]
+        best = viterbi(wide, size, tagger.p["trans"])
+        for row, (_, d, p) in enumerate(own):
+            start, end = p[2] * TILE, min(p[3] * TILE, len(codes[d]))
+            tags[d][start:end] = best[row, start - p[0] * TILE : end - p[0] * TILE]
+    return tags
+
+
 def all_spans(texts: list[str], tagger: Tagger | None, rows: int = 2048) -> list[tuple[list[Span], list[Span]]]:
     """Rule spans, and all spans, of each text."""
     base = [base_spans(t) for t in texts]
     if tagger is None or not texts:
         return [(b, b) for b in base]
-    codes = [coded(t) for t in texts]
-    tile = [tiles(c) for c in codes]
-    tags = [np.zeros(len(c) + WINDOW, dtype=np.int8) for c in codes]
-    # windows of neighbouring texts share a batch of bounded size
-    of = np.repeat(np.arange(len(texts)), [len(t) for t in tile])
-    number = np.concatenate(tile)
-    for at in range(0, len(of), rows):
-        own, nth = of[at : at + rows], number[at : at + rows]
-        cut = [(d, nth[own == d]) for d in np.unique(own)]
-        got = tagger.tag(np.concatenate([cut_windows(symbols(codes[d]), n) for d, n in cut]))[:, EDGE : EDGE + TILE]
-        done = 0
-        for d, n in cut:
-            tags[d][n[:, None] * TILE + np.arange(TILE)] = got[done : done + len(n)]
-            done += len(n)
+    tags = global_tags([coded(t) for t in texts], tagger, rows)
     out = []
     for text, found, t in zip(texts, base, tags, strict=True):
         added = [
