@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from hearthline.session import staged
@@ -43,15 +43,22 @@ def thinned(rows: DataFrame, wanted: DataFrame, key: str, words: int = 1 << 18)
     The wanted keys set bits in a map of ``words`` 64-bit words, which is broadcast: at most that many rows whatever the input. No
     wanted row is lost; when the map is full, which takes tens of millions of keys, it merely stops saving anything.
     """
-    return marked(rows, wanted, key, "__maybe", words).where("__maybe").select(*rows.columns)
+    bits, place = bit_map(wanted, key, words)
+    met = rows.withColumn("__at", place).withColumn("__word", F.shiftright("__at", 6)).join(F.broadcast(bits), "__word")
+    return met.where(F.getbit("__bits", F.col("__at").bitwiseAND(F.lit(63)).cast("int")) == 1).select(*rows.columns)
 
 
-def marked(rows: DataFrame, wanted: DataFrame, key: str, name: str, words: int = 1 << 18) -> DataFrame:
-    """Rows with a boolean column: false where the row certainly has no wanted key. See ``thinned``."""
+def bit_map(wanted: DataFrame, key: str, words: int) -> tuple[DataFrame, Column]:
+    """The words with a bit set, and the place of a row's key among all bits."""
     place = F.pmod(F.xxhash64(F.col(key)), F.lit(words * 64))
     word, bit = F.shiftright(place, 6).alias("__word"), place.bitwiseAND(F.lit(63)).cast("int")
     bits = wanted.select(word, bit.alias("__bit")).select("__word", F.expr("shiftleft(1L, __bit)").alias("__set"))
-    bits = bits.groupBy("__word").agg(F.bit_or("__set").alias("__bits"))
+    return bits.groupBy("__word").agg(F.bit_or("__set").alias("__bits")), place
+
+
+def marked(rows: DataFrame, wanted: DataFrame, key: str, name: str, words: int = 1 << 18) -> DataFrame:
+    """All rows with a boolean column: false where the row certainly has no wanted key. See ``thinned``."""
+    bits, place = bit_map(wanted, key, words)
     met = rows.withColumn("__at", place).withColumn("__word", F.shiftright("__at", 6)).join(F.broadcast(bits), "__word", "left")
     maybe = F.getbit("__bits", F.col("__at").bitwiseAND(F.lit(63)).cast("int")) == 1
     return met.withColumn(name, F.coalesce(maybe, F.lit(False))).select(*rows.columns, name)

@@ -38,9 +38,8 @@ def _expected(rows: list[tuple]) -> list[tuple]:
 def test_resolution_equals_brute_force_and_responses_keep_their_bodies(spark, monkeypatch, crowded):
     """Also with bit maps of one word, which let nearly everything through."""
     if crowded:
-        whole = common.marked
-        monkeypatch.setattr(common, "marked", lambda rows, wanted, key, name, words=1: whole(rows, wanted, key, name, 1))
-        monkeypatch.setattr(warc, "marked", lambda rows, wanted, key, name: whole(rows, wanted, key, name, 1))
+        whole = common.bit_map
+        monkeypatch.setattr(common, "bit_map", lambda wanted, key, words: whole(wanted, key, 1))
     rows = _pages()
     found = warc.resolve(spark.createDataFrame(rows, SCHEMA).repartition(5)).collect()
     assert sorted(((r["page_id"], r["url"], r["payload_digest"], r["refers_to"]) for r in found), key=str) == _expected(rows)
