@@ -42,3 +42,13 @@ def test_units_and_ranges():
     assert tuning.from_unit(SPACE, low) == {"a": 1.0, "b": 0.0, "c": 2}
     assert tuning.from_unit(SPACE, high) == {"a": 100.0, "b": 10.0, "c": 40}
     assert tuning.propose([], SPACE, 3) == tuning.propose([], SPACE, 3)
+
+
+def test_trials_share_one_staged_table(spark, monkeypatch):
+    """Each trial reads the table written once, whatever the number of trials."""
+    written = []
+    monkeypatch.setattr(tuning, "staged", lambda df, label: written.append(label) or df)
+    df = spark.range(30).selectExpr("CAST(id % 3 AS INT) AS fold", "CAST(id % 2 AS INT) AS t")
+    found = tuning.parzen_search(df, lambda **chosen: lambda fit, valid: valid.selectExpr("t", "t AS p"), {"a": (0.0, 1.0, "float")}, trials=3)
+    assert [r["qwk_mean"] for r in found.collect()] == [1.0] * 3
+    assert written == ["trials"]
