@@ -396,3 +396,21 @@ def test_metrics_leave_out_null_scores(spark):
     assert (got.n, got.mae, got.rmse) == (1, 10.0, 10.0)
     bins = reliability(spark.createDataFrame([(1, 0.05), (0, None), (None, 0.5)], "y int, p double"), "y", "p").collect()
     assert [(r.bin, r.n) for r in bins] == [(0, 1)]
+
+
+def test_small_pieces_send_no_row_more_often(spark, monkeypatch):
+    """The piece that is multiplied at a time does not decide how often a row travels; floats travel as floats."""
+    sent = []
+    whole = neighbours.block_products
+
+    def seen(left, right, *rest):
+        sent.append((left.count(), right.count(), left.schema["vec"].dataType.simpleString()))
+        return whole(left, right, *rest)
+
+    monkeypatch.setattr(neighbours, "block_products", seen)
+    df = spark.createDataFrame([(i, [float(i % 7), 1.0, float(i % 3)]) for i in range(120)], "id long, v array<float>")
+    sides = (df.where("id < 40"), df.where("id >= 40"), "id", "v", 3)
+    large, small = (neighbours.nearest_neighbours(*sides, **o).orderBy("query", "rank").collect() for o in ({}, {"block_bytes": 24 * 5}))
+    assert large == small and len(small) == 120
+    cores = spark.sparkContext.defaultParallelism
+    assert sent == [(40 * cores, 80, "array<float>")] * 2
