@@ -363,7 +363,9 @@ def sweep(
     df: DataFrame, numeric: list[str], categorical: list[str], id_col: str, ks: range = range(2, 8), **fit
 ) -> DataFrame:
     """Cost, silhouette and separation per k. All fits share their passes over the staged frame; only the finished row of each k comes back."""
-    df = staged(df.select(id_col, *numeric, *categorical), "sweep")
+    # one even part per core, since well packed rows come in few splits
+    even = df.select(id_col, *numeric, *categorical).repartition(df.sparkSession.sparkContext.defaultParallelism)
+    df = staged(even, "sweep")
     rows = []
     for k, model in _cheapest(df, numeric, categorical, ks, id_col, **fit).items():
         labelled = staged(model.assign(df), "labelled")

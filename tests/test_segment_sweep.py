@@ -56,3 +56,19 @@ def test_sweep_finds_the_planted_number(spark):
     swept = G.sweep(planted(spark), ["a", "b"], ["c"], "id", range(3, 6))
     assert [r["k"] for r in swept.orderBy("k").collect()] == [3, 4, 5]
     assert G.best_k(swept).first()["k"] == 4
+
+
+def test_sweep_deals_rows_evenly(spark, monkeypatch):
+    parts = {}
+    staged = G.staged
+
+    def seen(df, label):
+        out = staged(df, label)
+        parts.setdefault(label, out.groupBy(G.F.input_file_name()).count().collect())
+        return out
+
+    monkeypatch.setattr(G, "staged", seen)
+    G.sweep(planted(spark).coalesce(1), ["a", "b"], ["c"], "id", range(2, 3), max_rounds=1, starts=1)
+    for label in ("sweep", "labelled"):
+        assert len(parts[label]) == spark.sparkContext.defaultParallelism
+        assert max(r["count"] for r in parts[label]) <= 2 * 240 / len(parts[label])
