@@ -68,10 +68,9 @@ def permuted_variants(df: DataFrame, features: list[str], id_col: str, repeats:
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch["position"].to_numpy()
-            values = [batch[f"v{i}"].to_pylist() for i in range(len(features))]
             for i, r, key in keys:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(permuted_positions(at, n, key)), pa.array([i] * len(at), pa.int32()), pa.array([r] * len(at), pa.int32()), pa.array(values[i], pa.string())],
+                    [pa.array(permuted_positions(at, n, key)), pa.array(np.full(len(at), i, np.int32)), pa.array(np.full(len(at), r, np.int32)), batch[f"v{i}"]],
                     names=["position", "i", "r", "value"],
                 )
 
