@@ -1,16 +1,27 @@
-"""What keeps the fits of the model queries within time: inputs worked out once."""
+"""What keeps the fits of the model queries within time: inputs worked out once, rows that keep their nodes."""
 
 from __future__ import annotations
 
 import datetime as dt
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
+from hearthline.models import estimators as M
 from hearthline.queries import q_models
 
 N = 400
 
 
+def test_rows_keep_their_nodes_and_the_forest_stays(spark):
+    rows = spark.range(N, numPartitions=2).select(
+        array_to_vector(F.array(*[F.pmod(F.xxhash64("id", F.lit(i)), F.lit(20)).cast("double") for i in range(5)])).alias("features"),
+        F.pmod(F.xxhash64("id"), F.lit(3)).cast("double").alias("label"), F.lit(1.0).alias("weight"))
+    assert M.random_forest().getCacheNodeIds()
+    kept, walked = (M.random_forest(8, maxDepth=6, **kw).fit(rows) for kw in ({}, {"cacheNodeIds": False}))
+    assert kept.toDebugString.split("\n", 1)[1] == walked.toDebugString.split("\n", 1)[1]
+
+
 def test_frame_works_out_its_inputs_once(spark, tmp_path):
     day = dt.datetime(1999, 1, 1)
     orders = [(i, None if i % 9 == 0 else i % 40, "FOP"[i % 3], None if i % 50 == 0 else 1000.0 * (i % 300), day + dt.timedelta(days=3 * i), "1-URGENT") for i in range(N)]
