@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import datetime as dt
 
+import pytest
+
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from hearthline.models import estimators as M
+from hearthline.models.histogram_boost import Settings
 from hearthline.queries import q_models
 
 N = 400
@@ -35,3 +38,22 @@ def test_frame_works_out_its_inputs_once(spark, tmp_path):
     got = frame.drop("label", "t")
     assert got.columns == plain.columns
     assert got.exceptAll(plain).count() == plain.exceptAll(got).count() == 0 < got.count()
+
+
+def test_joint_classifier_boosts_to_the_end(spark, monkeypatch):
+    """The registered query runs the operator's own rounds, leaves and rate, not fewer."""
+    rows = spark.createDataFrame([("A", "train", 1.0), ("C", "test", 2.0)], "label_band string, split string, a double")
+    asked = []
+
+    class Asked(Exception):
+        pass
+
+    def fit(train, features, label, classes=None, settings=None):
+        asked.append((train.count(), features, classes, settings or Settings()))
+        raise Asked
+
+    monkeypatch.setattr(q_models, "_matrix", lambda *_: (rows, ["a"]))
+    monkeypatch.setattr(q_models, "fit_boosted", fit)
+    with pytest.raises(Asked):
+        q_models.mdl7_joint(spark, "")
+    assert asked == [(1, ["a"], len(q_models.C.BANDS), Settings(rounds=100, leaves=31, rate=0.07))]
